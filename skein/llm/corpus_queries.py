@@ -8,10 +8,14 @@ from public_tokenizers import path as tokenizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media_tiff, sentencepiece_bpe, simhash, token_output
+from . import html_extract, media_tiff, sentencepiece_bpe, simhash, token_output, toxicity
 from .common import read_table
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return sentencepiece_bpe.encode_documents(docs, tokenizer("piece_bpe_32k.model"), ids=False)
@@ -26,14 +30,24 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_words", "n_passages", "best", "starts", "ends")
+
+
 def op10_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_tiff.texts_as_tiff(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_html_extract": op4_html_extract,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_token_output": op7_token_output,
     "op8_simhash": op8_simhash,
+    "op9_toxicity": op9_toxicity,
     "op10_media_tiff": op10_media_tiff,
 }
 
