@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, media_tiff, sentencepiece_bpe, simhash, token_output, toxicity
+from . import decontaminate, html_extract, media_tiff, sentencepiece_bpe, simhash, token_output, toxicity
 from .common import read_table
 
 
@@ -16,6 +16,10 @@ def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read_table(spark, sf_dir, "pages"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return sentencepiece_bpe.encode_documents(docs, tokenizer("piece_bpe_32k.model"), ids=False)
@@ -44,6 +48,7 @@ def op10_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_extract": op4_html_extract,
+    "op5_decontaminate": op5_decontaminate,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_token_output": op7_token_output,
     "op8_simhash": op8_simhash,
