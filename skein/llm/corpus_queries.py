@@ -8,10 +8,22 @@ from public_tokenizers import path as tokenizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, line_dedup, media_tiff, sentencepiece_bpe, simhash, token_output, toxicity
+from . import decontaminate, html_extract, language_id, license_scan, line_dedup, media_tiff, sentencepiece_bpe, simhash, token_output, toxicity
 from .common import read_table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents (doc_id) and all pages (page_id)."""
+    docs = language_id.document_records(read_table(spark, sf_dir, "documents"))
+    records = docs.unionByName(language_id.page_records(read_table(spark, sf_dir, "pages")))
+    return language_id.identify(records, language_id.fit_text(docs))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return license_scan.scan(docs, license_scan.fit_on(docs))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", "dropped", "first_doc_ids", "text")
@@ -52,6 +64,8 @@ def op10_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_license_scan": op2_license_scan,
     "op3_line_dedup": op3_line_dedup,
     "op4_html_extract": op4_html_extract,
     "op5_decontaminate": op5_decontaminate,
