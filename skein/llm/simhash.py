@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import components, keep, local_forest, slices
 
 MOST = 20_000
+#: Buckets (two longs each) that are broadcast at most.
+FEW_BUCKETS = 250_000
 
 
 def fingerprint_of(hashes: np.ndarray) -> int:
@@ -133,7 +135,8 @@ def link_fingerprints(different: DataFrame, differ: int = 2, most: int = MOST) -
         raise ValueError("two segments with one wildcard each hold for one or two differing bits")
     keys = different.select(F.explode(segment_keys()).alias("key"), "fp")
     full = keep(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    shared = keys.join(full, "key")
+    small = full.count() <= FEW_BUCKETS  # then the keys are filtered where they are made; else both sides are dealt out by key
+    shared = keys.join(F.broadcast(full) if small else full, "key")
     fine = shared.where(F.col("n") > most).select(F.explode(finer_keys()).alias("key"), "fp")
     coarse = shared.where(F.col("n") <= most).select("key", "fp")
     found = None
