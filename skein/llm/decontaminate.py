@@ -206,3 +206,11 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     found = rows.mapInArrow(_align_rows(threshold), "doc_id long, item_id long, score double, start_word long, end_word long")
     best = F.max(F.struct("score", (-F.col("start_word")).alias("start"), (-F.col("end_word")).alias("end"))).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.score").alias("score"), (-F.col("best.start")).alias("start_word"), (-F.col("best.end")).alias("end_word"))
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with their own columns, whose texts hold no item.  Rows with a null or repeated id are judged by their texts."""
+    key = F.xxhash64(F.col(text_col).cast("string"))
+    texts = docs.select(key.alias("doc_id"), F.col(text_col).alias("text"))
+    found = keep(contaminated(texts, items, threshold).select(F.col("doc_id").alias("_found")).distinct(), "contaminated")
+    return docs.join(found, key == F.col("_found"), "left_anti")

@@ -49,20 +49,24 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(doc_id long, fp long): one row per input row, repeats included; null or wordless text has fingerprint zero."""
+    """(doc_id long, text_key long, fp long): one row per input row, repeats included; null or wordless text has fingerprint zero.
+
+    text_key is xxhash64 of the text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros(batch.num_rows, np.uint64)
             at = 0
             for part in slices(batch):
-                for x in part.column(1):
+                for x in part.column(2):
                     if len(h := shingle_hashes(x.as_py(), words)):
                         out[at] = fingerprint_of(h)
                     at += 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out.view(np.int64))], ["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 def segment_keys(fp: str = "fp") -> F.Column:
@@ -153,10 +157,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     zero and are linked like any other.  A null doc_id keeps its row and never is a component_id, unless its component
     has no other; then component_id is null.  Repeated rows stay repeated.  An empty table gives no rows.
     """
-    known = keep(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    least = keep(known.groupBy("fp").agg(F.min("doc_id").alias("least")), "different")
-    roots = components(link_fingerprints(least.select("fp"), differ, most))
-    placed = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    known, placed = _groups(docs, id_col, text_col, words, differ, most)
     best = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.join(best, "root").select("fp", "component_id")
     return known.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, words: int, differ: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' fingerprints, and each fingerprint (fp) with its least doc_id (least) and its component (root)."""
+    known = keep(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    least = keep(known.groupBy("fp").agg(F.min("doc_id").alias("least")), "different")
+    roots = components(link_fingerprints(least.select("fp"), differ, most))
+    return known, least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def keep_one(docs: DataFrame, words: int = 3, differ: int = 2, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
+    """One document for each group of near copies, with its own columns: the one of the least doc_id.
+
+    Null ids come last.  Among rows that repeat that id, the one of the least xxhash64 of its text stays; of rows that
+    repeat both, any one.
+    """
+    known, placed = _groups(docs, id_col, text_col, words, differ, most)
+    rows = known.join(placed.select("fp", "root"), "fp").select("root", "doc_id", "text_key")
+    ids = rows.groupBy("root").agg(F.min("doc_id").alias("best"))
+    tied = rows.join(ids, "root").where(F.col("doc_id").eqNullSafe(F.col("best")))  # null ids only where the group has no other
+    stay = tied.groupBy("root").agg(F.min("text_key").alias("text_key"), F.first("best").alias("best"))
+    stay = keep(stay.select(F.col("best").alias("_id"), F.col("text_key").alias("_key")), "stay")
+    # The rows that go are told by id and text; so are those that stay more than once.
+    keys = rows.groupBy(F.col("doc_id").alias("_row_id"), F.col("text_key").alias("_row_key")).agg(F.count(F.lit(1)).alias("_times"))
+    same = F.col("_row_id").eqNullSafe(F.col("_id")) & (F.col("_row_key") == F.col("_key"))
+    marked = keep(keys.join(stay.withColumn("_stays", F.lit(True)), same, "left").where("_stays is null or _times > 1").select("_row_id", "_row_key", "_stays"), "marked")
+    text = F.col(text_col).cast("string")
+    own = F.col(id_col).cast("long").eqNullSafe(F.col("_row_id")) & (F.xxhash64(text) == F.col("_row_key"))
+    once = docs.join(marked, own, "left_anti")
+    names = [F.col(f"`{n}`") for n in docs.columns]
+    repeated = docs.join(marked.where("_stays"), own).dropDuplicates(["_row_id", "_row_key"]).select(*names)
+    return once.unionByName(repeated)
