@@ -38,24 +38,31 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, config: str = "engl
     return TextIndex(postings(docs, id_col, text_col, config), lengths, docs.select(F.col(id_col).alias("id")), config)
 
 
-def scores(docs: DataFrame, id_col: str, text_col: str, query: str, config: str = "english") -> DataFrame:
-    """(id, score) of every document, 0.0 where no term matches.
+def with_score(df: DataFrame, text_col: str, query: str, config: str = "english", name: str = "score") -> DataFrame:
+    """df with the BM25 score of each row in column `name`, 0.0 where no term matches.
 
     Terms are counted inside each row, so ranking a table needs no postings and no shuffle of texts: one pass gives the
-    statistics (document count, mean length, document frequency of each term), a second one the scores.
+    statistics (row count, mean length, document frequency of each term), a second one the scores.
     A term that the query repeats counts as often.
     """
     terms = query_terms(query, config)
     tokens = text_tokens(text_col, config)
-    counted = docs.select(F.col(id_col).alias("id"), F.size(tokens).cast("bigint").alias("dl"), *[_tf(tokens, t).alias(f"tf{i}") for i, t in enumerate(terms)])
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("bigint")).alias(f"df{i}") for i in range(len(terms))])
+    dl = F.coalesce(F.size(tokens), F.lit(0)).cast("double")
+    counted = df.select(dl.alias("dl"), *[_tf(tokens, t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl"), *[F.coalesce(F.sum((F.col(f"tf{i}") > 0).cast("bigint")), F.lit(0)).alias(f"df{i}") for i in range(len(terms))])
+    stats = stats.select(F.struct("*").alias("__bm25"))
     score: Column = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5) + 1)
-        tf = F.col(f"tf{i}").cast("double")
-        part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    for i, term in enumerate(terms):
+        n, df_i, tf = F.col("__bm25.n"), F.col(f"__bm25.df{i}"), _tf(tokens, term).cast("double")
+        idf = F.log((n - df_i + 0.5) / (df_i + 0.5) + 1)
+        part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("__bm25.avgdl")))
         score = score + F.when(tf > 0, part).otherwise(0.0)
-    return counted.crossJoin(F.broadcast(stats)).select("id", score.alias("score"))  # stats is one row
+    return df.crossJoin(F.broadcast(stats)).select(*[F.col(f"`{c}`") for c in df.columns], score.alias(name))  # stats is one row
+
+
+def scores(docs: DataFrame, id_col: str, text_col: str, query: str, config: str = "english") -> DataFrame:
+    """(id, score) of every document."""
+    return with_score(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", query, config).select("id", "score")
 
 
 def _tf(tokens: Column, term: str) -> Column:
