@@ -4,8 +4,8 @@ The events give lines: the text between two block boundaries, with the number of
 Lines under elements that never hold main text (menus, headers, footers, sidebars, notices, adverts, forms, comments,
 hidden parts) are marked and count as lines without text.  The text-to-tag ratios of all lines are smoothed by a Gaussian, and a
 threshold between their two clusters finds the dense lines.  The region of the page that the dense lines lie in is the
-content: an article or main element if the page has one, else their nearest common part, and there only dense lines and their neighbours
-that aren't links.
+content: an article or main element if the page has one, else their nearest common part, there without lines that are
+mostly links.
 """
 
 from __future__ import annotations
@@ -29,9 +29,9 @@ NEVER = frozenset("aside audio button canvas datalist dialog fieldset footer for
 ENDS_P = BLOCK - {"br", "body", "html", "head", "title", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "select"}
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+PARTS = frozenset("article body div main section td".split())
 # Words of class and id names that mark what is no main text.
 WORDS = frozenset("ad ads adv advert adverts advertisement advertising advertisment sponsor sponsored sponsors promo promoted promotion banner cookie cookies consent gdpr notice notices notification alert warning popup modal overlay newsletter subscribe subscription signup login paywall sidebar sidebars aside rail nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer foot header masthead topbar toolbar share sharing social related recommended recommendations comment comments commentlist disqus respond replies reply widget widgets form search skip copyright disclaimer hidden".split())
-MAIN_WORDS = frozenset("article content entry main post story body text".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -172,7 +172,7 @@ def main_text(html: str | None) -> tuple[str, int]:
         region = max((n for n in named if mass[n] >= 0.9 * best and (mass[n] or inside[n] == max(inside[m] for m in named))), default=named[0])
         chosen = [not line[3] and region in line[4] for line in lines]
     else:
-        whole = [n for n in mass if mass[n] >= 0.9 * total]
+        whole = [n for n in mass if mass[n] >= 0.9 * total and parser.elements[n][0] in PARTS]
         region = max(whole, default=None)
         chosen = [not line[3] and (region is None or region in line[4]) and (bool(d) or line[2] * 2 <= len(line[0])) for line, d in zip(lines, dense, strict=True)]
     kept = [line[0] for line, c in zip(lines, chosen, strict=True) if c]
