@@ -114,8 +114,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, rows: int, id_col: str, text_c
     """(text, toxic, part): at most `rows` labelled documents of the folds 0 and 2, those with the least hashes."""
     fold = F.crc32(F.col(id_col).cast("string").cast("binary")) % 3
     known = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").alias("toxic"), F.max(fold).alias("part")).where("part <> 1")
-    some = known.orderBy(F.xxhash64("id"), "id").limit(rows)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(some, "id").select("text", F.col("toxic").cast("int"), F.col("part").cast("int"))
+    some = known.orderBy(F.xxhash64("id"), "id").limit(rows)  # `rows` ids at most, so it may be broadcast
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some), "id").select("text", F.col("toxic").cast("int"), F.col("part").cast("int"))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
