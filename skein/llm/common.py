@@ -6,7 +6,7 @@ Every operator reads only the columns it names, so further columns of an input (
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Used only where the cluster names no shared folder (tests, single machine).
 LOCAL_SCRATCH = "file:///tmp/checkpoints/skein"
 
-_scratch: dict[str, list[str]] = {}
+_scratch: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,11 +25,20 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or LOCAL_SCRATCH).rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the application's own scratch folder, which goes when the driver ends."""
     app = spark.sparkContext.applicationId
-    path = f"{shared_dir(spark)}/skein-{app}/{name}-{uuid.uuid4().hex[:12]}"
-    _scratch.setdefault(app, []).append(path)
-    return path
+    if app not in _scratch:
+        _scratch[app] = f"{shared_dir(spark)}/skein-{app}-{uuid.uuid4().hex[:8]}"
+        files, target = _file_system(spark, _scratch[app])
+        files.mkdirs(target)
+        files.deleteOnExit(target)
+    return f"{_scratch[app]}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -37,43 +46,28 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._skein_path = path
+    return kept
+
+
+def forget(kept: DataFrame) -> None:
+    """Delete the table behind a frame of keep() that nothing will read any more."""
+    files, target = _file_system(kept.sparkSession, kept._skein_path)
+    files.delete(target, True)
 
 
 def release_scratch(spark: SparkSession) -> None:
-    """Delete the scratch tables of this application; results that still read them must be written first."""
-    sc = spark.sparkContext
-    for path in _scratch.pop(sc.applicationId, []):
-        target = sc._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+    """Delete all scratch tables of this application; results that still read them must be written first."""
+    if path := _scratch.pop(spark.sparkContext.applicationId, None):
+        files, target = _file_system(spark, path)
+        files.delete(target, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def per_row(fields: str, make: Callable[[], Callable]) -> tuple[Callable, str]:
-    """An Arrow function that calls a row function (made once a task) and returns its tuples in the given columns.
-
-    The row function takes the input columns of a row as Python values and returns one tuple.
-    """
-    names = [x.split()[0] for x in fields.split(", ")]
-    kinds = [_ARROW[x.split(maxsplit=1)[1]] for x in fields.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = make()
-        for batch in batches:
-            for part in slices(batch):
-                out = [row(*x) for x in zip(*(c.to_pylist() for c in part.columns), strict=True)]
-                columns = list(zip(*out, strict=True)) or [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-    return run, fields
-
-
-_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
-
-
 def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about `most` bytes (one row at least), so that Python values of few rows are alive at once."""
     rows = max(1, int(batch.num_rows * most / max(batch.nbytes, 1)))
@@ -131,5 +125,6 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        now = keep(small.where("a <> b").distinct(), "links")
+        last, now = now, keep(small.where("a <> b").distinct(), "links")
+        forget(last)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
