@@ -38,8 +38,9 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 class _Lines(HTMLParser):
     """Collects lines: text, tags, link characters, marked, path of open elements (numbers into `elements`)."""
 
-    def __init__(self):
+    def __init__(self, by_name: bool = True):
         super().__init__(convert_charrefs=True)
+        self.by_name = by_name  # whether class and id names mark elements
         self.elements: list[tuple[str, bool]] = []  # name, whether it is an article or main part
         self.stack: list[tuple[str, int, bool]] = []  # name, number, marked
         self.links = self.tags = self.link_chars = 0
@@ -61,7 +62,7 @@ class _Lines(HTMLParser):
             for other in SIBLINGS[tag]:
                 self._end(other, ("ul", "ol", "dl", "table", "select", "menu", "datalist"))
         mark = self.stack[-1][2] if self.stack else False
-        new = mark or self._marked(tag, attrs)
+        new = (mark or self._marked(tag, attrs)) and not (tag == "main" and not any(t in NEVER for t, _, _ in self.stack))
         if tag in BLOCK or new != mark:
             self.line()
         self.tags += 1
@@ -97,11 +98,10 @@ class _Lines(HTMLParser):
         if self.links:
             self.link_chars += len(data.strip())
 
-    @staticmethod
-    def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in NEVER:
             return True
-        if tag in ("html", "body", "article", "main"):
+        if tag in ("html", "body", "main"):
             return False
         for name, value in attrs:
             value = value or ""
@@ -109,7 +109,7 @@ class _Lines(HTMLParser):
                 return True
             if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return True
-            if name in ("class", "id") and any(w.lower() in WORDS for w in _WORD.findall(value)):
+            if self.by_name and name in ("class", "id") and any(w.lower() in WORDS for w in _WORD.findall(value)):
                 return True
         return False
 
@@ -141,14 +141,21 @@ def threshold(values: np.ndarray) -> float:
     return float(np.expm1((low + high) / 2))
 
 
+def _read(html: str, by_name: bool) -> _Lines:
+    parser = _Lines(by_name)
+    parser.feed(html)
+    parser.close()
+    parser.line()
+    return parser
+
+
 def main_text(html: str | None) -> tuple[str, int]:
     """The main text and the number of its lines; null, empty and textless pages give the empty text."""
     if not html:
         return "", 0
-    parser = _Lines()
-    parser.feed(html)
-    parser.close()
-    parser.line()
+    parser = _read(html, True)
+    if all(line[3] for line in parser.lines) and any(main for _, main in parser.elements):
+        parser = _read(html, False)  # a name on the page's own frame marked the article too
     lines = parser.lines
     if all(line[3] for line in lines):
         return "", 0

@@ -90,6 +90,8 @@ def test_html_cases(spark):
         4: ("plain &lt;text&gt; only", "plain <text> only"),
         5: ("<nav>only <a>a menu</a></nav>", ""),
         6: ("<body><div id=top><a>Home</a> <a>About</a></div><div><p>A paragraph of some length that readers came for, with words.</p><p>Short.</p><p>And a second paragraph that also has a good number of words.</p></div></body>", "A paragraph of some length that readers came for, with words. Short. And a second paragraph that also has a good number of words."),
+        8: ("<div class='layout-sidebar'><article><p>Framed text of the article.</p></article></div>", "Framed text of the article."),
+        9: ("<div class=with-sidebar><main><p>Framed text of the page.</p><section class=comments><article class=comment><p>A reader says a lot of things here, at length.</p></article></section></main></div>", "Framed text of the page."),
         7: ("<p>" + "word " * 20_000 + "</p>", ("word " * 20_000).strip()),
     }
     rows = [(i, f"u{i}", h, 0) for i, (h, _) in cases.items()] + [(None, None, PAGE, 0), (1, "u1", PAGE, 0)]
