@@ -143,7 +143,7 @@ def _passages(docs: DataFrame, vocabulary: dict[str, int] | None, seeds: np.ndar
                     runs = [(0, len(words), np.unique(grams))] if len(grams) else []
                 else:
                     hit = np.flatnonzero(light[grams >> np.uint64(44)])
-                    hit = hit[np.isin(grams[hit], seeds)]
+                    hit = hit[seeds[np.searchsorted(seeds, grams[hit]).clip(max=len(seeds) - 1)] == grams[hit]] if len(hit) else hit
                     cuts = np.flatnonzero(np.diff(hit) > reach) + 1
                     runs = [(max(0, int(h[0]) - reach), min(len(words), int(h[-1]) + N + reach), np.unique(grams[h])) for h in np.split(hit, cuts) if len(h)]
                 for start, end, found in runs:
