@@ -21,7 +21,7 @@ SHINGLE, THRESHOLD = 8, 0.8
 #: A pair at the threshold is found with probability 1 - (1 - 63/64 * 0.8**5)**14 = 0.996, one at 0.9 in all but 5 of 10**6 cases.
 BANDS, ROWS = 14, 5
 #: Buckets of over MOST different lines are dealt out again; so many bucket or line keys are broadcast at most.
-MOST, FEW = 2_000, 1_000_000
+MOST, FEW = 20_000, 1_000_000
 
 _M1, _M2, _P = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
@@ -36,30 +36,53 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def _windows(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of the lines one after another, and the number of each one's line; short lines are filled up with zeros."""
+    filled = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
+    sizes = np.fromiter(map(len, filled), np.int64, len(filled))
+    return np.frombuffer("".join(filled).encode("utf-32-le", "surrogatepass"), np.uint32), np.repeat(np.arange(len(filled), dtype=np.int32), sizes)
+
+
+def _rolled(chars: np.ndarray, power: np.unsignedinteger) -> np.ndarray:
+    """A polynomial hash of each SHINGLE characters in a row, by doubling: that of 2w characters from those of w."""
+    h, width = chars, 1
+    with np.errstate(over="ignore"):
+        while width < SHINGLE:
+            h = h[:-width] * power + h[width:] if len(h) > width else h[:0]
+            power, width = power * power, width * 2
+    return h
+
+
 def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles of the lines, and the number of the line that each is of.
+    """Hashes of 64 bits of all shingles of the lines, and the number of the line that each is of.
 
     A line of fewer than SHINGLE characters is filled up with zeros to one shingle.
     """
-    filled = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
-    sizes = np.fromiter(map(len, filled), np.int64, len(filled))
-    chars = np.frombuffer("".join(filled).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    of = np.repeat(np.arange(len(filled)), sizes)
-    h, power, width = chars + np.uint64(1), _P, 1
-    while width < SHINGLE:  # doubling: the hash of 2w characters from those of w
-        h = h[:-width] * power + h[width:] if len(h) > width else h[:0]
-        with np.errstate(over="ignore"):
-            power, width = power * power, width * 2
+    chars, of = _windows(lines)
+    h = _rolled(chars.astype(np.uint64) + np.uint64(1), _P)
     whole = of[: len(h)] == of[SHINGLE - 1 :] if len(h) else np.empty(0, bool)
     return _mix(h[whole]), of[: len(h)][whole]
 
 
-def signatures(hashes: np.ndarray, of: np.ndarray, lines: int, bins: int) -> np.ndarray:
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """The sorted set of shingle hashes of each line."""
+    h, of = shingle_hashes(lines)
+    return [np.unique(x) for x in np.split(h, np.searchsorted(of, np.arange(1, len(lines))))] if lines else []
+
+
+def signatures(lines: list[str], bins: int) -> np.ndarray:
     """One-permutation MinHash: the least hash in each bin; an empty bin takes that of the next full one to its right."""
-    least = np.full(lines * bins, 0xFFFFFFFF, np.uint32)
-    place = of * bins + ((hashes >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
-    np.minimum.at(least, place, (hashes & np.uint64(0xFFFFFFFE)).astype(np.uint32))
-    least = least.reshape(lines, bins)
+    chars, of = _windows(lines)
+    h = _rolled(chars, np.uint32(0x9E3779B1))
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    h ^= h >> np.uint32(16)
+    of = of.astype(np.int64) * bins
+    place = of[: len(h)] + ((h >> np.uint32(16)).astype(np.int64) * bins >> 16)
+    whole = of[: len(h)] == of[SHINGLE - 1 :] if len(h) else np.empty(0, bool)
+    least = np.full(len(lines) * bins, 0xFFFFFFFF, np.uint32)
+    np.minimum.at(least, place[whole], ((h * np.uint32(0x9E3779B1)) & np.uint32(0xFFFFFFFE))[whole])
+    least = least.reshape(len(lines), bins)
     empty = least == 0xFFFFFFFF
     at = np.where(np.concatenate([empty, empty], axis=1), 4 * bins, np.arange(2 * bins))
     next_full = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :bins]
@@ -89,29 +112,23 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         at.append(n)
                         lines.append(line)
             hashed = np.frombuffer(b"".join(xxh3_128_digest(x.encode()) for x in lines), np.int64).reshape(-1, 2)
-            keys = band_keys(signatures(*shingle_hashes(lines), len(lines), BANDS * ROWS))
+            keys = band_keys(signatures(lines, BANDS * ROWS))
             taken = pa.array(docs, pa.int64())
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1) * BANDS, pa.int32()), pa.array(keys.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays([part.column(0).take(taken), part.column(1).take(taken), pa.array(at, pa.int32()), pa.array(hashed[:, 0].copy()), pa.array(hashed[:, 1].copy()), flat], ["doc_id", "text_key", "line", "h1", "h2", "bands"])
 
 
-def _texts_of(wanted: np.ndarray | None):
-    """Every line's (h1, text), once a task at most for those in `wanted` (sorted); all lines if it is None."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
-
-        for batch in batches:
-            for part in slices(batch):
-                lines = list({n for text in part.column(0) for line in (text.as_py() or "").split("\n") if (n := normal(line))})
-                h = np.frombuffer(b"".join(xxh3_128_digest(x.encode()) for x in lines), np.int64)
-                h = h.reshape(-1, 2)
-                if wanted is not None:
-                    some = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, h[:, 0]), len(wanted) - 1)] == h[:, 0]) if len(wanted) else np.empty(0, np.int64)
-                    lines, h = [lines[i] for i in some], h[some]
-                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(lines, pa.string())], ["h1", "h2", "text"])
-
-    return run
+def _lines_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, at array<struct<line, node>>) -> (node, the line as it is compared)."""
+    for batch in batches:
+        for part in slices(batch):
+            nodes, texts = [], []
+            for text, at in zip(part.column(0), part.column(1), strict=True):
+                lines = text.as_py().split("\n")
+                for x in at.as_py():
+                    nodes.append(x["node"])
+                    texts.append(normal(lines[x["line"]]))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], ["node", "text"])
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -120,44 +137,82 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def _sizes_fit(a: int, b: int, threshold: float) -> bool:
-    return min(a, b) >= threshold * max(a, b)
-
+class _Bucket:
+    """The lines of one bucket so far: shingle sets, bit maps of them and components.
 
-def _verify_sorted(threshold: float):
-    """Over (key, node, text) rows that come sorted by key: a forest of the verified links in each bucket.
-
-    A line is compared with the lines of each component so far until one is similar; crowded buckets were dealt out before.
+    A bit of one map that the other lacks stands for a shingle that the other lacks, so the maps bound every Jaccard
+    similarity from above; only lines that the bound lets through are compared exactly, one for each component at best.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, names, sets, groups = None, [], [], []
-        made: list[tuple[int, int]] = []
+    WORDS = 32
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+        self.names: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.maps = np.zeros((4, self.WORDS), np.uint64)
+        self.sizes = np.zeros(4, np.int64)
+        self.groups = np.zeros(4, np.int64)
+
+    def _map(self, own: np.ndarray) -> np.ndarray:
+        bits = np.zeros(self.WORDS * 64, bool)
+        bits[own % np.uint64(self.WORDS * 64)] = True
+        return np.packbits(bits, bitorder="little").view(np.uint64)
+
+    def add(self, name: int, own: np.ndarray) -> list[tuple[int, int]]:
+        """The links of a new line to earlier ones, at most one to each component."""
+        n, size = len(self.names), len(own)
+        if n < 2:  # most buckets stay this small, so maps are made from the third line on
+            found = []
+            if n and min(size, len(self.sets[0])) >= self.threshold * max(size, len(self.sets[0])) and jaccard(own, self.sets[0]) >= self.threshold:
+                found = [(name, self.names[0])]
+            self.names.append(name)
+            self.sets.append(own)
+            self.groups[n] = 1 if found else n
+            self.groups[0] = 1 if found else 0
+            return found
+        if n == 2:
+            for i, x in enumerate(self.sets):
+                self.maps[i], self.sizes[i] = self._map(x), len(x)
+        mine = self._map(own)
+        found = []
+        maps, sizes = self.maps[:n], self.sizes[:n]
+        both = np.minimum(size - np.bitwise_count(mine & ~maps).sum(axis=1, dtype=np.int64), sizes - np.bitwise_count(maps & ~mine).sum(axis=1, dtype=np.int64))
+        bound = both / (size + sizes - both)
+        near = np.flatnonzero(bound >= self.threshold)
+        near = near[np.argsort(-bound[near], kind="stable")]
+        while len(near):
+            i = int(near[0])
+            if jaccard(own, self.sets[i]) >= self.threshold:
+                found.append((name, self.names[i]))
+                group = self.groups[i]
+                near = near[self.groups[near] != group]
+                self.groups[:n][self.groups[:n] == group] = n
+            else:
+                near = near[1:]
+        if n == len(self.maps):
+            self.maps, self.sizes, self.groups = (np.concatenate([x, np.zeros_like(x)]) for x in (self.maps, self.sizes, self.groups))
+        self.names.append(name)
+        self.sets.append(own)
+        self.maps[n], self.sizes[n], self.groups[n] = mine, size, n
+        return found
 
-        def flush() -> pa.RecordBatch:
-            a, b = np.array([m[0] for m in made], np.int64), np.array([m[1] for m in made], np.int64)
-            made.clear()
-            a, b = local_forest(a, b)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
+def _verify_sorted(threshold: float):
+    """Over (key, node, text) rows that come sorted by key: links that connect all similar lines of each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, bucket = None, _Bucket(threshold)
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for k, node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
-                if k != key:
-                    key, names, sets, groups = k, [], [], []
-                own = np.unique(shingle_hashes([text])[0])
-                mine, others = [len(names)], []
-                for group in groups:
-                    like = next((i for i in reversed(group) if _sizes_fit(len(own), len(sets[i]), threshold) and jaccard(own, sets[i]) >= threshold), None)
-                    if like is None:
-                        others.append(group)
-                    else:
-                        made.append((node, names[like]))
-                        mine = group + mine
-                groups = [*others, mine]
-                names.append(node)
-                sets.append(own)
-            yield flush()
+            made: list[tuple[int, int]] = []
+            for part in slices(batch, 2 << 20):
+                keys, nodes = part.column(0).to_pylist(), part.column(1).to_pylist()
+                for k, node, own in zip(keys, nodes, shingle_sets(part.column(2).to_pylist()), strict=True):
+                    if k != key:
+                        key, bucket = k, _Bucket(threshold)
+                    made += bucket.add(node, own)
+            a, b = local_forest(np.array([m[0] for m in made], np.int64), np.array([m[1] for m in made], np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
@@ -169,8 +224,7 @@ def _prefix_keys(threshold: float):
         for batch in batches:
             for part in slices(batch, 1 << 20):
                 keys, rows = [], []
-                for i, (key, text) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
-                    own = np.unique(shingle_hashes([text])[0])
+                for i, (key, own) in enumerate(zip(part.column(0).to_pylist(), shingle_sets(part.column(2).to_pylist()), strict=True)):
                     first = own[: len(own) - int(np.ceil(threshold * len(own))) + 1]
                     keys.append(_mix(first ^ np.uint64(key & 0xFFFFFFFFFFFFFFFF)).view(np.int64))
                     rows.append(np.full(len(first), i))
@@ -202,13 +256,17 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     full = keep(keys.groupBy("key").agg(F.bit_or(bit).alias("bits"), F.count(F.lit(1)).alias("n")).where("bit_count(bits) > 1").select("key", "n"), "line-buckets")
     few = full.count() <= FEW
     shared = keep(keys.join(F.broadcast(full) if few else full, "key").select("key", F.col("h1").alias("node"), "n").distinct(), "line-candidates")
+    # Bands mostly gather the same lines: of the buckets with equal members (told by two hashes over them) one is enough.
+    members = shared.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    chosen = members.where("m > 1").groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key", F.col("m").alias("n"))
+    shared = keep(shared.select("key", "node").join(chosen, "key"), "line-buckets")
+    # The candidates' texts, each from the place where it stands first.
     nodes = shared.select("node").distinct()
-    wanted = None
-    if nodes.count() <= FEW:
-        wanted = np.sort(np.array([r.node for r in nodes.toLocalIterator()], np.int64))  # at most FEW longs
-    texts = rows.select("text").mapInArrow(_texts_of(wanted), "h1 long, h2 long, text string")
-    texts = texts.join(nodes, texts["h1"] == nodes["node"], "left_semi") if wanted is None else texts
-    texts = keep(texts.dropDuplicates(["h1", "h2"]).select(F.col("h1").alias("node"), "text"), "line-texts")
+    wanted = different.join(nodes, different["h1"] == nodes["node"]).select(F.col("place.doc_id").alias("at_id"), F.col("place.text_key").alias("at_key"), F.struct("place.line", "node").alias("at"))
+    wanted = keep(wanted.groupBy("at_id", "at_key").agg(F.collect_list("at").alias("at")), "line-places")  # bounded by the document's own lines
+    near = F.broadcast(wanted) if nodes.count() <= FEW else wanted
+    found = rows.join(near, rows["doc_id"].eqNullSafe(near["at_id"]) & (rows["text_key"] == near["at_key"]))
+    texts = keep(found.select("text", "at").mapInArrow(_lines_at, "node long, text string").dropDuplicates(["node"]), "line-texts")
     bucket = shared.join(texts, "node").select("key", "node", "text", "n")
     crowded = bucket.where(F.col("n") > most).drop("n").mapInArrow(_prefix_keys(threshold), "key long, node long, text string").distinct()
     links = None
@@ -233,9 +291,11 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     """
     gone = keep(repeated_lines(docs, threshold, id_col, text_col, most), "repeated-lines").select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key"), F.col("dropped").alias("_dropped"), F.col("first_doc_ids").alias("_first"))
     text = F.col(text_col).cast("string")
-    joined = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text) == F.col("_gone_key")), "left")
-    lines = f"split(cast(`{text_col}` as string), '\\n', -1)"
-    kept = F.expr(f"array_join(transform(array_except(sequence(0, size({lines}) - 1), _dropped), i -> element_at({lines}, i + 1)), '\\n')")
+    size = gone.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size("_dropped")), F.lit(0))).first()[0]
+    if size <= FEW:
+        gone = F.broadcast(gone)
+    joined = docs.withColumn("_lines", F.split(text, "\n", -1)).join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text) == F.col("_gone_key")), "left")
+    kept = F.expr("array_join(transform(array_except(sequence(0, size(_lines) - 1), _dropped), i -> element_at(_lines, i + 1)), '\\n')")
     new = F.when(F.col("_dropped").isNull(), text).otherwise(kept)
-    added = {text_col: new, "n_lines": F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0)), "n_dropped": F.coalesce(F.size("_dropped"), F.lit(0)), "dropped": F.coalesce("_dropped", F.array().cast("array<int>")), "first_doc_ids": F.coalesce("_first", F.array().cast("array<long>"))}
-    return joined.withColumns(added).drop("_gone_id", "_gone_key", "_dropped", "_first")
+    added = {text_col: new, "n_lines": F.when(text.isNull(), 0).otherwise(F.size("_lines")), "n_dropped": F.when(F.col("_dropped").isNull(), 0).otherwise(F.size("_dropped")), "dropped": F.coalesce("_dropped", F.array().cast("array<int>")), "first_doc_ids": F.coalesce("_first", F.array().cast("array<long>"))}
+    return joined.withColumns(added).drop("_lines", "_gone_id", "_gone_key", "_dropped", "_first")
