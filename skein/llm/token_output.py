@@ -12,6 +12,8 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +24,21 @@ from pyspark.sql import functions as F
 from .common import scratch_path, slices
 
 #: Bound of the words a task remembers; beyond it, it starts anew.
-WORDS, LONGEST = 400_000, 48
+WORDS, LONGEST = 500_000, 48
 _ASCII_SPACE = re.compile(r"[ \t\n\r\f\v]").split
+#: White space for str.split(), but not for the tokenizer's patterns.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Marks that part a run of letters before them from what follows, whatever that is (the apostrophe may start 's or 't).
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 
 
 class WordwiseTokenizer:
-    """A tokenizers file whose outcome for a text is that of its parts between ASCII white space, one after another.
+    """A tokenizers file whose outcome for a text is that of its parts between white space, one after another.
 
     This holds if the normalizer works character by character (NFC never joins over white space) and the pre-tokenizer
-    drops white space; the constructor refuses other files.  The parts are encoded by the library itself, many at once,
-    and frequent ones are remembered.
+    drops white space; the constructor refuses other files.  The parts are encoded by the library itself, and frequent
+    ones are remembered.  Runs of letters are one pre-token each and go to the library many at a time, one in a line;
+    tokens with the end mark tell them apart.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -44,27 +51,95 @@ class WordwiseTokenizer:
             said = json.load(f)
         kinds = {x["type"] for x in said["normalizer"]["normalizers"]}
         split = said["pre_tokenizer"]["pretokenizers"][0]
-        if not kinds <= {"NFC", "Replace", "Lowercase"} or split["type"] != "Split" or split["behavior"] != "Removed" or not split["invert"] or any(x["lstrip"] or x["rstrip"] or x["single_word"] or re.search(r"\s", x["content"]) for x in said["added_tokens"]):
+        end = said["model"].get("end_of_word_suffix")
+        if not kinds <= {"NFC", "Replace", "Lowercase"} or split["type"] != "Split" or split["behavior"] != "Removed" or not split["invert"] or "[\\p{L}]+" not in split["pattern"]["Regex"].split("|") or not end or any(x["lstrip"] or x["rstrip"] or x["single_word"] or re.search(r"\s", x["content"]) or x["content"].isalpha() for x in said["added_tokens"]):
             raise ValueError("this tokenizer's outcome isn't that of the parts between white space")
         self.library = Tokenizer.from_file(tokenizer_file)
-        self.words: dict[str, list[int]] = {}
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.library.get_vocab().items() if token.endswith(end)]] = True
+        self.words, self.letters = _Words(), _Words()
+        self.lower = "Lowercase" in kinds
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of whole texts, as little-endian 32-bit integers; null is taken as the empty text."""
-        words = self.words
-        split = [_ASCII_SPACE(t or "") for t in texts]
-        if len(words) >= WORDS:
-            words.clear()
-        new = list(set().union(*split).difference(words))
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            words.update(zip(some, (array("i", e.ids).tobytes() for e in self.library.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        out = [b"".join(map(words.__getitem__, parts)) for parts in split]
-        for w in new:
-            if len(w) > LONGEST:
-                del words[w]
+        rows = []
+        for text in texts:
+            text = text or ""
+            parts = text.split() if not any(c in text for c in _SEPARATORS) else _ASCII_SPACE(text)
+            rows.append(list(map(self.words.__getitem__, parts)))
+        self._fill()
+        out = [b"".join(row) for row in rows]
+        for known in (self.words, self.letters):
+            known.trim()
         return out
 
+    def _fill(self) -> None:
+        """Gives the new words their ids."""
+        other, parted = [], []
+        for word in self.words.new:
+            run = word.rstrip(_MARKS)
+            if run.isalpha() and (run.isascii() or normalize("NFC", run).lower().isalpha()):
+                parted.append((word, self.letters[run.lower() if self.lower and run.isascii() else run], word[len(run) :]))
+            else:
+                other.append(word)
+        new = self.letters.new
+        for i in range(0, len(new), 512):
+            self._fill_letters(new[i : i + 512])
+        marks = list({m for _, _, m in parted if m and m not in self.words})
+        found = dict(zip(marks, self._each(marks), strict=True))
+        for word, run, mark in parted:
+            self.words[word][:] = run + (found[mark] if mark in found else self.words[mark] if mark else b"")
+        for word, ids in zip(other, self._each(other), strict=True):
+            self.words[word][:] = ids
+        # A mark that was itself a new word of this round had no ids yet.
+        if late := set(other):
+            for word, run, mark in parted:
+                if mark in late:
+                    self.words[word][:] = run + self.words[mark]
+
+    def _fill_letters(self, runs: list[str]) -> None:
+        ids = np.array(self.library.encode_batch_fast(["\n".join(runs)], add_special_tokens=False)[0].ids, np.int32)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(runs):
+            raise ValueError("a run of letters isn't one pre-token")
+        raw, start = memoryview(ids).cast("B"), 0
+        for run, end in zip(runs, (cuts * 4).tolist(), strict=True):
+            self.letters[run][:] = raw[start:end]
+            start = end
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        out = []
+        for i in range(0, len(words), 4096):
+            out += [array("i", e.ids).tobytes() for e in self.library.encode_batch_fast(words[i : i + 4096], add_special_tokens=False)]
+        return out
+
+
+@lru_cache(2)
+def tokenizer_of(tokenizer_file: str) -> WordwiseTokenizer:
+    """One for each Python worker, so its words are known to later tasks too."""
+    return WordwiseTokenizer(tokenizer_file)
+
+
+class _Words(dict):
+    """Packed ids of words; a new word gets an empty place and is noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> bytearray:
+        self.new.append(word)
+        place = self[word] = bytearray()
+        return place
+
+    def trim(self) -> None:
+        for word in self.new:
+            if len(word) > LONGEST:
+                del self[word]
+        self.new.clear()
+        if len(self) >= WORDS:
+            self.clear()
+
 
 SCHEMA = "doc_id long, at long, n_tokens long, ids array<int>"
 
@@ -77,7 +152,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, at, end = WordwiseTokenizer(tokenizer_file), 0, array("i", [end_id]).tobytes()
+        tokenizer, at, end = tokenizer_of(tokenizer_file), 0, array("i", [end_id]).tobytes()
         for batch in batches:
             for part in slices(batch):
                 made = tokenizer.encode_all(part.column(1).to_pylist())
