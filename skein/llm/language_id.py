@@ -12,7 +12,6 @@ the language that the text alone speaks for as the count's label.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,7 +40,7 @@ _PATH = re.compile(r"^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)([^?#]*)", re.I)
 
 
 def trigram_slots(text: str) -> np.ndarray:
-    """Slots of the letter trigrams of a text, words in lower case between single marks; at most 16 million characters at once."""
+    """Slots of the letter trigrams of a text, words in lower case between single spaces."""
     words = _LETTERS.findall(text.lower())
     if not words:
         return np.empty(0, np.int64)
@@ -76,19 +75,14 @@ def fit_text(records: DataFrame, rows: int = FIT_ROWS) -> TextModel:
     share = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, rows / max(n, 1)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, np.ndarray] = {}
-        texts: Counter = Counter()
+        """Trigram counts of each language, summed within a batch; slot -1 counts the texts."""
         for batch in batches:
+            seen: dict[str, list[np.ndarray]] = {}
             for text, lang in zip(batch.column(0), batch.column(1), strict=True):
-                slots = trigram_slots(text.as_py())
-                lang = lang.as_py()
-                texts[lang] += 1
-                if len(seen) < 256 or lang in seen:  # of more codes in one task only 256 can have LEAST_SHARE
-                    table = seen.setdefault(lang, np.zeros(SLOTS, np.int64))
-                    np.add.at(table, slots, 1)
-        for lang, table in seen.items():
-            at = np.flatnonzero(table)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at) + [lang], pa.string()), pa.array([*at.tolist(), -1], pa.int64()), pa.array([*table[at].tolist(), texts[lang]], pa.int64())], ["lang", "slot", "n"])
+                seen.setdefault(lang.as_py(), []).append(trigram_slots(text.as_py()))
+            for lang, found in seen.items():
+                slots, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(slots) + 1), pa.string()), pa.array(np.append(slots, -1)), pa.array(np.append(n, len(found)))], ["lang", "slot", "n"])
 
     counted = labelled.where(share).mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     kept = keep(counted, "trigrams")
@@ -106,8 +100,7 @@ def fit_text(records: DataFrame, rows: int = FIT_ROWS) -> TextModel:
 
 
 def declared_in_markup(html: str | None) -> str | None:
-    head = (html or "")[:65536]  # the html and meta elements stand at a page's start; the text itself is read whole
-    found = _LANG.search(head) or _META.search(head)
+    found = _LANG.search(html or "") or _META.search(html or "")
     return found[1].lower() if found else None
 
 

@@ -197,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str =
                 scores = word_scores(words, known_words)
                 if not toxic.as_py():
                     bins += np.bincount(np.round((scores + MOST + 1) / step).astype(int).clip(0, len(bins) - 1), minlength=len(bins))
-                best = sorted((s for _, _, s in maximal_segments(scores)), reverse=True)[:64]
+                best = sorted((s for _, _, s in maximal_segments(scores)), reverse=True)
                 made.append((toxic.as_py(), len(words), best))
             yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.list_(pa.float64()))], ["toxic", "words", "best"])
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0], pa.int64()), pa.array([bins.astype(float)], pa.list_(pa.float64()))], ["toxic", "words", "best"])
