@@ -28,8 +28,8 @@ FIT_ROWS, LEAST_SHARE = 20_000, 0.005
 SLOTS = 1 << 18
 #: Exponent of the text's likelihood, its cap in trigrams, strength of each level of priors in records.
 TEMPER, MOST_TRIGRAMS, PRIOR = 0.3, 400, 20.0
-#: Least posterior, least letters and least advantage a trigram over text of no language, for a decision.
-SURE, LETTERS, MARGIN = 0.5, 3, 0.0
+#: Least posterior (texts in two languages are kept), least letters and least advantage a trigram over text of no language, for a decision.
+SURE, LETTERS, MARGIN = 0.34, 3, 0.0
 UNKNOWN = "und"
 EVIDENCE = ["text", "declared", "suffix", "host", "domain"]
 
