@@ -13,28 +13,29 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import scratch_path, slices
 
-#: Bound of the words a task remembers; beyond it, it starts anew.
-WORDS, LONGEST = 500_000, 48
-_ASCII_SPACE = re.compile(r"[ \t\n\r\f\v]").split
-#: White space for str.split(), but not for the tokenizer's patterns.
-_SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Bound of the runs of letters that a worker remembers; beyond it, it starts anew.
+WORDS, LONGEST = 600_000, 48
 #: Marks that part a run of letters before them from what follows, whatever that is (the apostrophe may start 's or 't).
+_MARK_LENGTH = 8
+#: Latin, Greek and Cyrillic characters; the letters among them stay single letters through NFC and lower case (so not U+0130).
+_STABLE = r"^[A-Za-z\x{C0}-\x{12F}\x{131}-\x{24F}\x{370}-\x{52F}]*$"
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 
 
 class WordwiseTokenizer:
     """A tokenizers file whose outcome for a text is that of its parts between white space, one after another.
 
+    Only ASCII white space parts a text here; the library itself sees any other.
     This holds if the normalizer works character by character (NFC never joins over white space) and the pre-tokenizer
     drops white space; the constructor refuses other files.  The parts are encoded by the library itself, and frequent
     ones are remembered.  Runs of letters are one pre-token each and go to the library many at a time, one in a line;
@@ -57,56 +58,101 @@ class WordwiseTokenizer:
         self.library = Tokenizer.from_file(tokenizer_file)
         self.ends = np.zeros(self.library.get_vocab_size(), bool)
         self.ends[[i for token, i in self.library.get_vocab().items() if token.endswith(end)]] = True
-        self.words, self.letters = _Words(), _Words()
         self.lower = "Lowercase" in kinds
+        self.letters: dict[str, bytes] = {"": b""}
+        self.marks: dict[str, bytes] = {"": b""}
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of whole texts, as little-endian 32-bit integers; null is taken as the empty text."""
-        rows = []
-        for text in texts:
-            text = text or ""
-            parts = text.split() if not any(c in text for c in _SEPARATORS) else _ASCII_SPACE(text)
-            rows.append(list(map(self.words.__getitem__, parts)))
-        self._fill()
-        out = [b"".join(row) for row in rows]
-        for known in (self.words, self.letters):
-            known.trim()
-        return out
-
-    def _fill(self) -> None:
-        """Gives the new words their ids."""
-        other, parted = [], []
-        for word in self.words.new:
-            run = word.rstrip(_MARKS)
-            if run.isalpha() and (run.isascii() or normalize("NFC", run).lower().isalpha()):
-                parted.append((word, self.letters[run.lower() if self.lower and run.isascii() else run], word[len(run) :]))
-            else:
-                other.append(word)
-        new = self.letters.new
-        for i in range(0, len(new), 512):
-            self._fill_letters(new[i : i + 512])
-        marks = list({m for _, _, m in parted if m and m not in self.words})
-        found = dict(zip(marks, self._each(marks), strict=True))
-        for word, run, mark in parted:
-            self.words[word][:] = run + (found[mark] if mark in found else self.words[mark] if mark else b"")
-        for word, ids in zip(other, self._each(other), strict=True):
-            self.words[word][:] = ids
-        # A mark that was itself a new word of this round had no ids yet.
-        if late := set(other):
-            for word, run, mark in parted:
-                if mark in late:
-                    self.words[word][:] = run + self.words[mark]
-
-    def _fill_letters(self, runs: list[str]) -> None:
+        """The ids of each whole text, as little-endian 32-bit integers; null is taken as the empty text."""
+        sizes, ids = self.encode_column(pa.array(texts, pa.string()))
+        ends = np.cumsum(sizes) * 4
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip((ends - sizes * 4).tolist(), ends.tolist(), strict=True)]
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each text has, and all ids one after another.
+
+        Splitting, telling words apart and putting ids together is done on columns; only different runs of letters
+        become Python objects.
+        """
+        texts = texts.fill_null("")
+        if self.lower:  # of ASCII texts this is the normalizer's own step; it makes words alike
+            texts = pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), texts)
+        parts = pc.ascii_split_whitespace(texts)
+        words = parts.flatten().dictionary_encode()
+        codes = words.indices.to_numpy(zero_copy_only=False)
+        first, second, pieces = self._pieces(words.dictionary)
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        pool = np.frombuffer(b"".join(pieces), np.int32)
+        starts = np.cumsum(lengths) - lengths
+        used = np.stack([first[codes], second[codes]], axis=1).ravel()
+        before, ids = _gathered(pool, starts[used], lengths[used])
+        offsets = parts.offsets.to_numpy()
+        bounds = before[2 * (offsets - offsets[0])]
+        return np.diff(bounds), ids
+
+    def _pieces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """For each word the two pieces that its ids consist of, and all pieces' ids.
+
+        The first piece is the word's run of letters and the second the marks after it, or the first is the whole word and
+        the second is empty.
+        """
+        runs = pc.utf8_rtrim(words, characters=_MARKS)
+        plain = pc.string_is_ascii(runs)
+        if self.lower:
+            runs = pc.if_else(plain, pc.ascii_lower(runs), runs)
+        sizes = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        marked = sizes - pc.binary_length(runs).to_numpy(zero_copy_only=False)
+        letters = pc.and_(pc.utf8_is_alpha(runs), pc.or_(plain, pc.match_substring_regex(runs, _STABLE)))
+        parted = letters.to_numpy(zero_copy_only=False) & (marked <= _MARK_LENGTH)
+        whole = np.flatnonzero(~parted)
+        marked[whole] = 0
+        ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)[1:]
+        bounds, raw = _gathered(np.frombuffer(words.buffers()[2] or b"", np.uint8), ends - marked, marked)
+        marks = pa.StringArray.from_buffers(len(words), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(raw)).dictionary_encode()
+        runs = pc.if_else(pa.array(parted), runs, "").dictionary_encode()
+        first = runs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        known = runs.dictionary.to_pylist()
+        pieces = self._letters(known)
+        second = marks.indices.to_numpy(zero_copy_only=False) + len(pieces)
+        pieces += self._known_marks(marks.dictionary.to_pylist())
+        first[whole] = np.arange(len(whole)) + len(pieces)
+        pieces += self._each(words.take(pa.array(whole)).to_pylist())
+        return first, second, pieces
+
+    def _letters(self, runs: list[str]) -> list[bytes]:
+        """The ids of different runs of letters."""
+        letters = self.letters
+        found = list(map(letters.get, runs))
+        new = [r for r, ids in zip(runs, found, strict=True) if ids is None]
+        if new:
+            if len(letters) + len(new) > WORDS:
+                letters.clear()
+                letters[""] = b""
+            made: dict[str, bytes] = {}
+            for i in range(0, len(new), 512):
+                self._encode_letters(new[i : i + 512], made)
+            found = [made[r] if ids is None else ids for r, ids in zip(runs, found, strict=True)]
+            letters.update((r, ids) for r, ids in made.items() if len(r) <= LONGEST)
+        return found
+
+    def _encode_letters(self, runs: list[str], made: dict[str, bytes]) -> None:
         ids = np.array(self.library.encode_batch_fast(["\n".join(runs)], add_special_tokens=False)[0].ids, np.int32)
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(runs):
             raise ValueError("a run of letters isn't one pre-token")
-        raw, start = memoryview(ids).cast("B"), 0
+        raw, start = ids.tobytes(), 0
         for run, end in zip(runs, (cuts * 4).tolist(), strict=True):
-            self.letters[run][:] = raw[start:end]
+            made[run] = raw[start:end]
             start = end
 
+    def _known_marks(self, marks: list[str]) -> list[bytes]:
+        if len(self.marks) > WORDS:
+            self.marks = {"": b""}
+        new = [m for m in marks if m not in self.marks]
+        self.marks.update(zip(new, self._each(new), strict=True))
+        return [self.marks[m] for m in marks]
+
     def _each(self, words: list[str]) -> list[bytes]:
         out = []
         for i in range(0, len(words), 4096):
@@ -120,25 +166,10 @@ def tokenizer_of(tokenizer_file: str) -> WordwiseTokenizer:
     return WordwiseTokenizer(tokenizer_file)
 
 
-class _Words(dict):
-    """Packed ids of words; a new word gets an empty place and is noted."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> bytearray:
-        self.new.append(word)
-        place = self[word] = bytearray()
-        return place
-
-    def trim(self) -> None:
-        for word in self.new:
-            if len(word) > LONGEST:
-                del self[word]
-        self.new.clear()
-        if len(self) >= WORDS:
-            self.clear()
+def _gathered(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of a pool one after another, and the bounds between them."""
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    return bounds, pool[np.arange(int(bounds[-1])) + np.repeat(starts - bounds[:-1], lengths)]
 
 
 SCHEMA = "doc_id long, at long, n_tokens long, ids array<int>"
@@ -152,13 +183,14 @@ def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, at, end = tokenizer_of(tokenizer_file), 0, array("i", [end_id]).tobytes()
+        tokenizer, at = tokenizer_of(tokenizer_file), 0
         for batch in batches:
-            for part in slices(batch):
-                made = tokenizer.encode_all(part.column(1).to_pylist())
-                sizes = np.array([len(x) // 4 + 1 for x in made], np.int64)
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                flat = np.frombuffer(end.join([*made, b""]), np.int32)
+            for part in slices(batch, 16 << 20):
+                sizes, ids = tokenizer.encode_column(part.column(1))
+                ends = np.cumsum(sizes)
+                flat = np.insert(ids, ends, end_id)
+                ends = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
+                sizes = sizes + 1
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(at + ends[:-1]), pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["doc_id", "at", "n_tokens", "ids"])
                 at += int(ends[-1])
 
