@@ -41,11 +41,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{_scratch[app]}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df to the shared folder once and read it again: later steps neither recompute it nor depend on one executor."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._skein_path = path
     return kept

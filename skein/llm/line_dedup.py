@@ -67,7 +67,14 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def shingle_sets(lines: list[str]) -> list[np.ndarray]:
     """The sorted set of shingle hashes of each line."""
     h, of = shingle_hashes(lines)
-    return [np.unique(x) for x in np.split(h, np.searchsorted(of, np.arange(1, len(lines))))] if lines else []
+    ends = np.searchsorted(of, np.arange(len(lines)), side="right").tolist()
+    out = []
+    for start, end in zip([0, *ends], ends, strict=False):
+        own = h[start:end]
+        own.sort()
+        new = own[1:] != own[:-1]
+        out.append(own if new.all() else own[np.concatenate([[True], new])])
+    return out
 
 
 def signatures(lines: list[str], bins: int) -> np.ndarray:
@@ -132,9 +139,11 @@ def _lines_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sorted sets."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(1, len(a) + len(b) - both)
+    """Of two sorted sets; a stable sort of both merges them."""
+    merged = np.concatenate([a, b])
+    merged.sort(kind="stable")
+    both = np.count_nonzero(merged[1:] == merged[:-1])
+    return both / max(1, len(merged) - both)
 
 
 class _Bucket:
@@ -246,7 +255,7 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     least text_key, then the first.  Rows equal in id and text count as one document.  Documents that lose nothing have no row.
     """
     rows = _with_keys(docs, id_col, text_col)
-    signed = keep(rows.mapInArrow(_sign, "doc_id long, text_key long, line int, h1 long, h2 long, bands array<long>"), "signatures")
+    signed = keep(rows.mapInArrow(_sign, "doc_id long, text_key long, line int, h1 long, h2 long, bands array<long>"), "signatures", **{"parquet.enable.dictionary": "false"})
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "line")
     # One row for each different line.
     different = keep(signed.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n")), "different-lines")
