@@ -142,20 +142,23 @@ def document_records(docs: DataFrame, whole: bool = False, id_col: str = "doc_id
     return docs.select(row.alias("row"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("declared"), null.alias("suffix"), F.col(source_col).cast("string").alias("host"), null.alias("domain"))
 
 
-def read_texts(records: DataFrame, model: TextModel) -> DataFrame:
-    """row, the evidence but the text, and loglik array<double>, n_trigrams, speaks (index of the text's best language, -1 for none)."""
+def read_texts(records: DataFrame, model: TextModel, text_field: str | None = None) -> DataFrame:
+    """With text_field, that field of row is the text, so it isn't sent twice.
+
+    Gives row, the evidence but the text, and loglik array<double>, n_trigrams, speaks (index of the text's best language, -1 for none)."""
     names = ["row", *EVIDENCE[1:]]
     kinds = {f.name: f for f in records.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                found = [model.likelihoods(x.as_py()) for x in part.column(len(names))]
+                texts = part.column(len(names)) if text_field is None else part.column(0).field(text_field)
+                found = [model.likelihoods(x.as_py()) for x in texts]
                 best = [int(np.argmax(x)) if n >= LETTERS and gain > MARGIN else -1 for x, n, gain in found]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array([x.tolist() for x, _, _ in found], pa.list_(pa.float64())), pa.array([n for _, n, _ in found], pa.int64()), pa.array(best, pa.int32())], [*names, "loglik", "n_trigrams", "speaks"])
 
     made = T.StructType([kinds[n] for n in names]).add("loglik", T.ArrayType(T.DoubleType())).add("n_trigrams", T.LongType()).add("speaks", T.IntegerType())
-    return records.select("row", *[F.lower(F.trim(n)).alias(n) for n in EVIDENCE[1:]], "text").mapInArrow(run, made)
+    return records.select("row", *[F.lower(F.trim(n)).alias(n) for n in EVIDENCE[1:]], *(["text"] if text_field is None else [])).mapInArrow(run, made)
 
 
 def _counts(read: DataFrame, key: str, size: int) -> DataFrame:
@@ -165,7 +168,7 @@ def _counts(read: DataFrame, key: str, size: int) -> DataFrame:
     return keep(counted.select(F.col(key), F.array(*[F.col(f"n{i}") for i in range(size)]).alias(f"{key}_n")), f"by-{key}")
 
 
-def identify(records: DataFrame, model: TextModel, twice: bool = False) -> DataFrame:
+def identify(records: DataFrame, model: TextModel, twice: bool = False, text_field: str | None = None) -> DataFrame:
     """(the fields of row, id_lang, id_posterior, id_accepted, id_text_lang, id_declared): one row for each record.
 
     id_lang is UNKNOWN and id_accepted false where the text has too few letters, is no better than text of no language,
@@ -174,12 +177,12 @@ def identify(records: DataFrame, model: TextModel, twice: bool = False) -> DataF
     once for the counts and once for the outcome instead of writing the rows in between, for rows that hold the texts.
     """
     size = len(model.languages)
-    read = read_texts(records, model)
+    read = read_texts(records, model, text_field)
     if not twice:
         read = keep(read, "likelihoods")
     if not size:
         return read.select("row.*", F.lit(UNKNOWN).alias("id_lang"), F.lit(0.0).alias("id_posterior"), F.lit(False).alias("id_accepted"), F.lit(UNKNOWN).alias("id_text_lang"), F.col("declared").alias("id_declared"))
-    seen = read if not twice else keep(read.drop("row", "loglik"), "best-languages")
+    seen = read if not twice else keep(read_texts(records.withColumn("row", F.lit(None).cast("long")), model).drop("row", "loglik"), "best-languages")
     total = np.full(size, 1.0)
     for r in seen.where("speaks >= 0").groupBy("speaks").count().collect():  # one row for each language
         total[r.speaks] += r["count"]
@@ -220,5 +223,6 @@ def keep_identified(docs: DataFrame, **columns: str) -> DataFrame:
     """The documents of a known language, with their own columns; the others go."""
     records = document_records(docs, whole=True, **columns)
     names = docs.columns
-    found = identify(records, fit_text(records), twice=True)
+    text = columns.get("text_col", "text")
+    found = identify(records, fit_text(records), twice=True, text_field=text if docs.schema[text].dataType == T.StringType() else None)
     return found.where("id_accepted").select(*[F.col(f"`{n}`") for n in names])

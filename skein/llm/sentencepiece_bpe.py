@@ -24,7 +24,7 @@ from .common import slices
 
 SPACE = "▁"
 #: Bounds of what a task remembers; beyond them it starts anew, and results stay the same.
-WORDS, PAIRS, LONGEST = 600_000, 1_000_000, 48
+WORDS, PAIRS, LONGEST = 300_000, 500_000, 48
 
 
 class Encoder:
