@@ -30,6 +30,8 @@ SLOTS = 1 << 18
 TEMPER, MOST_TRIGRAMS, PRIOR = 0.3, 400, 20.0
 #: Least posterior (texts in two languages are kept), least letters and least advantage a trigram over text of no language, for a decision.
 SURE, LETTERS, MARGIN = 0.34, 3, 0.0
+#: A trigram that a language lacks costs at most so much more than one of no language.
+FLOOR = 3.0
 UNKNOWN = "und"
 EVIDENCE = ["text", "declared", "suffix", "host", "domain"]
 
@@ -96,7 +98,8 @@ def fit_text(records: DataFrame, rows: int = FIT_ROWS) -> TextModel:
     together /= together.sum()
     smooth = 2000.0  # trigrams' worth of the common distribution in each model
     tables = np.log((tables + smooth * together) / (tables.sum(axis=1, keepdims=True) + smooth)) if languages else tables
-    return TextModel(languages, tables.astype(np.float32), float(-np.log(SLOTS)))
+    null = float(-np.log(SLOTS))
+    return TextModel(languages, np.maximum(tables, null - FLOOR).astype(np.float32), null)  # a few odd trigrams don't decide
 
 
 def declared_in_markup(html: str | None) -> str | None:
