@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import scratch_path, slices
 
 #: Bound of the runs of letters that a worker remembers; beyond it, it starts anew.
-WORDS, LONGEST = 600_000, 48
+WORDS, LONGEST = 400_000, 48
 #: Marks that part a run of letters before them from what follows, whatever that is (the apostrophe may start 's or 't).
 _MARK_LENGTH = 8
 #: Latin, Greek and Cyrillic characters; the letters among them stay single letters through NFC and lower case (so not U+0130).
@@ -185,7 +185,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, at = tokenizer_of(tokenizer_file), 0
         for batch in batches:
-            for part in slices(batch, 16 << 20):
+            for part in slices(batch, 8 << 20):
                 sizes, ids = tokenizer.encode_column(part.column(1))
                 ends = np.cumsum(sizes)
                 flat = np.insert(ids, ends, end_id)
