@@ -46,7 +46,9 @@ def with_score(df: DataFrame, text_col: str, query: str, config: str = "english"
     A term that the query repeats counts as often.
     """
     terms = query_terms(query, config)
-    tokens = text_tokens(text_col, config)
+    names = df.columns
+    df = df.withColumn("__tokens", text_tokens(text_col, config))  # used several times, so Catalyst keeps it as a step of its own
+    tokens = F.col("__tokens")
     dl = F.coalesce(F.size(tokens), F.lit(0)).cast("double")
     counted = df.select(dl.alias("dl"), *[_tf(tokens, t).alias(f"tf{i}") for i, t in enumerate(terms)])
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl"), *[F.coalesce(F.sum((F.col(f"tf{i}") > 0).cast("bigint")), F.lit(0)).alias(f"df{i}") for i in range(len(terms))])
@@ -57,7 +59,7 @@ def with_score(df: DataFrame, text_col: str, query: str, config: str = "english"
         idf = F.log((n - df_i + 0.5) / (df_i + 0.5) + 1)
         part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("__bm25.avgdl")))
         score = score + F.when(tf > 0, part).otherwise(0.0)
-    return df.crossJoin(F.broadcast(stats)).select(*[F.col(f"`{c}`") for c in df.columns], score.alias(name))  # stats is one row
+    return df.crossJoin(F.broadcast(stats)).select(*[F.col(f"`{c}`") for c in names], score.alias(name))  # stats is one row
 
 
 def scores(docs: DataFrame, id_col: str, text_col: str, query: str, config: str = "english") -> DataFrame:
