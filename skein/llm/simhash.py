@@ -178,7 +178,11 @@ def keep_one(docs: DataFrame, words: int = 3, differ: int = 2, id_col: str = "do
     repeat both, any one.
     """
     known, placed = _groups(docs, id_col, text_col, words, differ, most)
-    rows = known.join(placed.select("fp", "root"), "fp").select("root", "doc_id", "text_key")
+    return keep_least(docs, known.join(placed.select("fp", "root"), "fp").select("root", "doc_id", "text_key"), id_col, text_col)
+
+
+def keep_least(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document for each root of rows (root, doc_id, text_key), as keep_one tells; rows has one row for each of docs."""
     ids = rows.groupBy("root").agg(F.min("doc_id").alias("best"))
     tied = rows.join(ids, "root").where(F.col("doc_id").eqNullSafe(F.col("best")))  # null ids only where the group has no other
     stay = tied.groupBy("root").agg(F.min("text_key").alias("text_key"), F.first("best").alias("best"))
