@@ -16,7 +16,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents (doc_id) and all pages (page_id)."""
     docs = language_id.document_records(read_table(spark, sf_dir, "documents"))
     records = docs.unionByName(language_id.page_records(read_table(spark, sf_dir, "pages")))
-    return language_id.identify(records, language_id.fit_text(docs))
+    return language_id.identify(records, language_id.fit_text(records))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 
 from .common import keep, slices
 
-#: Documented bound of the labelled records that the trigram models are fitted on, and least share of a language among them.
-FIT_ROWS, LEAST_SHARE = 20_000, 0.005
+#: Documented bound of the labelled records that the trigram models are fitted on, shared among the languages; least number of a language's records for a model.
+FIT_ROWS, LEAST_TEXTS = 20_000, 20
 SLOTS = 1 << 18
 #: Exponent of the text's likelihood, its cap in trigrams, strength of each level of priors in records.
 TEMPER, MOST_TRIGRAMS, PRIOR = 0.3, 400, 20.0
@@ -68,13 +68,23 @@ class TextModel:
 
 
 def fit_text(records: DataFrame, rows: int = FIT_ROWS) -> TextModel:
-    """Trigram models from (text, declared): at most about `rows` records with a declared language, chosen by hash.
+    """Trigram models from (text, declared): about `rows` records at most with a declared language, chosen by hash in each language.
 
-    A declared code of under LEAST_SHARE of them is noise and gets no model.  No usable record gives a model without languages.
+    The bound is shared out evenly among the languages; what a rare language leaves goes to the others.  A declared code
+    of fewer than LEAST_TEXTS records is noise and gets no model.  No usable record gives a model without languages.
     """
-    labelled = records.select("text", F.lower("declared").alias("lang")).where("length(trim(lang)) > 0 and text is not null")
-    n = labelled.count()
-    share = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, rows / max(n, 1)))
+    labelled = records.select("text", F.lower(F.trim("declared")).alias("lang")).where("length(lang) > 0 and text is not null")
+    coded = keep(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_TEXTS), "languages")
+    sizes = {r.lang: r.n for r in coded.toLocalIterator()}  # one row for each code
+    shares, left = {}, rows
+    for i, (lang, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        taken = min(n, max(LEAST_TEXTS, left // (len(sizes) - i)))
+        shares[lang], left = min(1.0, taken / n), left - taken
+    if shares:
+        bound = F.create_map(*[F.lit(x) for lang, share in shares.items() for x in (lang, int((1 << 30) * share))])
+        share = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.coalesce(bound[F.col("lang")], F.lit(0))
+    else:
+        share = F.lit(False)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Trigram counts of each language, summed within a batch; slot -1 counts the texts."""
@@ -88,8 +98,7 @@ def fit_text(records: DataFrame, rows: int = FIT_ROWS) -> TextModel:
 
     counted = labelled.where(share).mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     kept = keep(counted, "trigrams")
-    docs = {r.lang: r.n for r in kept.where("slot = -1").toLocalIterator()}  # one row for each code in the sample
-    languages = sorted(lang for lang, n in docs.items() if n >= LEAST_SHARE * sum(docs.values()))
+    languages = sorted(r.lang for r in kept.where("slot = -1").toLocalIterator())  # one row for each code in the sample
     tables = np.zeros((len(languages), SLOTS), np.float64)
     for batch in [kept.where(F.col("lang").isin(languages) & (F.col("slot") >= 0)).toArrow()] if languages else []:  # at most languages x SLOTS rows
         place = {lang: i for i, lang in enumerate(languages)}
