@@ -83,13 +83,8 @@ class _Scores(dict):
 
 
 def word_scores(words: list[str], known: _Scores) -> np.ndarray:
-    """The words' scores; the k-th occurrence of a word with a positive score counts a k-th part, as words come in bursts."""
-    scores = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-    before: Counter = Counter()
-    for i in np.flatnonzero(scores > 0).tolist():
-        before[words[i]] += 1
-        scores[i] /= before[words[i]]
-    return scores
+    """The words' scores; every occurrence counts alike, so that a passage is judged by its own words wherever it stands."""
+    return np.fromiter(map(known.__getitem__, words), np.float64, len(words))
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -110,6 +105,30 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, float(r - le)) for a, b, le, r, _ in stack]
 
 
+def passages_of(words: list[str], known: _Scores) -> tuple[list[tuple[int, int, float]], np.ndarray]:
+    """The maximal segments of all words' scores, and those scores with bursts damped within each segment.
+
+    The k-th occurrence of a positive word in a segment counts a k-th part there, whatever other segments hold.  A
+    segment's score is that of its best part so damped, so it is no less than that of its first passage alone.
+    """
+    scores = word_scores(words, known)
+    damped, found = scores.copy(), []
+    for start, end, total in maximal_segments(scores):
+        before: Counter = Counter()
+        repeated = False
+        for i in range(start, end):
+            if scores[i] > 0:
+                before[words[i]] += 1
+                if before[words[i]] > 1:
+                    damped[i] /= before[words[i]]
+                    repeated = True
+        if repeated:
+            sums = np.concatenate([[0.0], np.cumsum(damped[start:end])])
+            total = float((sums[1:] - np.minimum.accumulate(sums[:-1])).max())
+        found.append((start, end, total))
+    return found, damped
+
+
 def _labelled(docs: DataFrame, labels: DataFrame, rows: int, id_col: str, text_col: str) -> DataFrame:
     """(text, toxic, part): at most `rows` labelled documents of the folds 0 and 2, those with the least hashes."""
     fold = F.crc32(F.col(id_col).cast("string").cast("binary")) % 3
@@ -194,10 +213,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str =
             made = []
             for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
                 words = words_of(text.as_py())
-                scores = word_scores(words, known_words)
+                segments, scores = passages_of(words, known_words)
                 if not toxic.as_py():
                     bins += np.bincount(np.round((scores + MOST + 1) / step).astype(int).clip(0, len(bins) - 1), minlength=len(bins))
-                best = sorted((s for _, _, s in maximal_segments(scores)), reverse=True)
+                best = sorted((s for _, _, s in segments), reverse=True)
                 made.append((toxic.as_py(), len(words), best))
             yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.list_(pa.float64()))], ["toxic", "words", "best"])
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0], pa.int64()), pa.array([bins.astype(float)], pa.list_(pa.float64()))], ["toxic", "words", "best"])
@@ -249,8 +268,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 rows = []
                 for text in part.column(1):
                     words = words_of(text.as_py())
-                    scores = word_scores(words, known)
-                    segments = maximal_segments(scores)
+                    segments, _ = passages_of(words, known)
                     real = [s for s in segments if model.excess(s[2], len(words)) > -log(model.significant)]
                     rows.append((model.probability([x for _, _, x in segments], len(words)), len(words), len(real), max((s for _, _, s in segments), default=0.0), [a for a, _, _ in real] if passages else None, [b for _, b, _ in real] if passages else None))
                 kinds = [pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
