@@ -174,13 +174,16 @@ def main_text(html: str | None) -> tuple[str, int]:
     total = sum(len(line[0]) for line, d in zip(lines, dense, strict=True) if d)
     named = [n for n in inside if parser.elements[n][1] and inside[n]]
     if named:
-        best = max(mass[n] for n in named)
-        # The innermost of those that hold nearly all that the best one holds; a page of several articles keeps its main part.
-        region = max((n for n in named if mass[n] >= 0.9 * best and (mass[n] or inside[n] == max(inside[m] for m in named))), default=named[0])
-        chosen = [not line[3] and region in line[4] for line in lines]
+        own = [sorted(set(named).intersection(line[4])) if not line[3] else [] for line in lines]
+        within = {n: parts[0] for parts in own for n in parts}  # the outermost part around each
+        count = Counter(n for parts in own for n in parts[1:])
+        nested = Counter(parts[0] for parts in own if parts[1:])
+        # All outermost parts count; a part within stands for its outer one only if no dense text and no further part lies outside it.
+        regions = {max(m for m in within if m == n or within[m] == n and mass[m] == mass[n] > 0 and count[m] == nested[n]) for n in within.values()}
+        chosen = [not line[3] and not regions.isdisjoint(line[4]) for line in lines]
     else:
-        whole = [n for n in mass if mass[n] >= 0.9 * total and parser.elements[n][0] in PARTS]
-        region = max(whole, default=None)
+        # The innermost part that holds all dense text.
+        region = max((n for n in mass if mass[n] == total and parser.elements[n][0] in PARTS), default=None)
         chosen = [not line[3] and (region is None or region in line[4]) and (bool(d) or line[2] * 2 <= len(line[0])) for line, d in zip(lines, dense, strict=True)]
     kept = [line[0] for line, c in zip(lines, chosen, strict=True) if c]
     return " ".join(kept), len(kept)
