@@ -5,63 +5,42 @@ Every operator reads only the columns it names, so further columns of an input (
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Used only where the cluster names no shared folder (tests, single machine).
-LOCAL_SCRATCH = "file:///tmp/checkpoints/skein"
+from skein.sources.scratch import forget, keep, release_scratch, scratch_path, shared_dir  # noqa: F401
 
-_scratch: dict[str, str] = {}
+Batches = Iterator[pa.RecordBatch]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (named or LOCAL_SCRATCH).rstrip("/")
+def _give_back() -> None:
+    """Hand free memory back to the system: a Python worker outlives its tasks, and the next stage needs the room."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
-def _file_system(spark: SparkSession, path: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+def arrow_map(df: DataFrame, run: Callable[[Batches], Batches], schema: str | T.StructType) -> DataFrame:
+    """df.mapInArrow whose workers hand their free memory back at the end of each task."""
 
+    @wraps(run)
+    def whole(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the application's own scratch folder, which goes when the driver ends."""
-    app = spark.sparkContext.applicationId
-    if app not in _scratch:
-        _scratch[app] = f"{shared_dir(spark)}/skein-{app}-{uuid.uuid4().hex[:8]}"
-        files, target = _file_system(spark, _scratch[app])
-        files.mkdirs(target)
-        files.deleteOnExit(target)
-    return f"{_scratch[app]}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df to the shared folder once and read it again: later steps neither recompute it nor depend on one executor."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.options(**options).parquet(path)
-    kept = spark.read.schema(df.schema).parquet(path)
-    kept._skein_path = path
-    return kept
-
-
-def forget(kept: DataFrame) -> None:
-    """Delete the table behind a frame of keep() that nothing will read any more."""
-    files, target = _file_system(kept.sparkSession, kept._skein_path)
-    files.delete(target, True)
-
-
-def release_scratch(spark: SparkSession) -> None:
-    """Delete all scratch tables of this application; results that still read them must be written first."""
-    if path := _scratch.pop(spark.sparkContext.applicationId, None):
-        files, target = _file_system(spark, path)
-        files.delete(target, True)
+    return df.mapInArrow(whole, schema)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,13 +73,15 @@ def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _forest_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reduces a task's links to a forest; memory holds at most one link for each node of the task plus one batch."""
+    """Reduces a task's links to a forest; memory holds at most two links for each node of the task."""
     a, b = np.empty(0, np.int64), np.empty(0, np.int64)
+    room = 1 << 20
     for batch in batches:
         a = np.concatenate([a, batch.column(0).to_numpy(zero_copy_only=False)])
         b = np.concatenate([b, batch.column(1).to_numpy(zero_copy_only=False)])
-        if len(a) > 1 << 20:
+        if len(a) > room:
             a, b = local_forest(a, b)
+            room = max(room, 2 * len(a))  # so each link is looked at a few times only
     a, b = local_forest(a, b)
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -115,7 +96,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = links.select(F.col(links.columns[0]).cast("long").alias("a"), F.col(links.columns[1]).cast("long").alias("b"))
     links = links.where("a is not null and b is not null and a <> b").distinct()
-    now = keep(links.mapInArrow(_forest_of_task, "a long, b long").distinct(), "links")
+    now = keep(arrow_map(links, _forest_of_task, "a long, b long").distinct(), "links")
     before = None
     while (state := tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())) != before:
         before = state

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import keep, slices
+from .common import arrow_map, keep, slices
 
 N, RARE, FEW = 3, 1e-8, 8
 #: Least alignment score against that of the item with itself.
@@ -92,7 +92,7 @@ def _item_words(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([words_of(x.as_py()) for x in batch.column(1)], pa.list_(pa.string()))], ["item_id", "words"])
 
     chosen = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).distinct()
-    return chosen.mapInArrow(run, "item_id long, words array<string>").where(F.size("words") >= N)
+    return arrow_map(chosen, run, "item_id long, words array<string>").where(F.size("words") >= N)
 
 
 def _word_counts(docs: DataFrame, vocabulary: dict[str, int] | None) -> DataFrame:
@@ -116,7 +116,7 @@ def _word_counts(docs: DataFrame, vocabulary: dict[str, int] | None) -> DataFram
                 word, n = np.unique(np.array(flat, np.uint64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
 
-    return docs.mapInArrow(every if vocabulary is None else known, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return arrow_map(docs, every if vocabulary is None else known, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _passages(docs: DataFrame, vocabulary: dict[str, int] | None, seeds: np.ndarray | None, reach: int) -> DataFrame:
@@ -150,7 +150,7 @@ def _passages(docs: DataFrame, vocabulary: dict[str, int] | None, seeds: np.ndar
                     out.append((key.as_py(), start, hashed[start:end].view(np.int64), found.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.int64())), pa.array([o[3] for o in out], pa.list_(pa.int64()))], ["doc_id", "first", "words", "seeds"])
 
-    return docs.mapInArrow(run, "doc_id long, first long, words array<long>, seeds array<long>")
+    return arrow_map(docs, run, "doc_id long, first long, words array<long>, seeds array<long>")
 
 
 def _align_rows(threshold: float):
@@ -186,7 +186,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
             hashed = [np.array([word_hash(w) for w in x.as_py()], np.uint64) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.view(np.int64) for h in hashed], pa.list_(pa.int64())), pa.array([seeds_of(h).view(np.int64) for h in hashed], pa.list_(pa.int64()))], ["item_id", "item_words", "seeds"])
 
-    hashed = keep(wanted.mapInArrow(hash_items, "item_id long, item_words array<long>, seeds array<long>").withColumn("item", F.monotonically_increasing_id()), "hashed-items")
+    hashed = keep(arrow_map(wanted, hash_items, "item_id long, item_words array<long>, seeds array<long>").withColumn("item", F.monotonically_increasing_id()), "hashed-items")
     vocabulary = {r.word: word_hash(r.word) for r in wanted.select(F.explode("words").alias("word")).distinct().collect()} if small else None  # bounded by broadcast_bytes
     counts = keep(_word_counts(docs, vocabulary), "word-counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0] or 1
@@ -203,7 +203,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     pairs = passages.select("passage", F.explode("seeds").alias("seed")).join(chosen, "seed").select("passage", "item").distinct()
     texts = hashed.select("item", "item_id", "item_words")
     rows = passages.join(pairs, "passage").join(texts, "item").select("doc_id", "first", "words", "item_id", "item_words")
-    found = rows.mapInArrow(_align_rows(threshold), "doc_id long, item_id long, score double, start_word long, end_word long")
+    found = arrow_map(rows, _align_rows(threshold), "doc_id long, item_id long, score double, start_word long, end_word long")
     best = F.max(F.struct("score", (-F.col("start_word")).alias("start"), (-F.col("end_word")).alias("end"))).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.score").alias("score"), (-F.col("best.start")).alias("start_word"), (-F.col("best.end")).alias("end_word"))
 

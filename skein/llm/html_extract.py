@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import arrow_map, slices
 
 # Fixed values of HTML: elements without content, elements that stand as blocks, elements that are no main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -203,4 +203,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts, pa.array([len(t) for t, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], ["page_id", "url", "text", "n_chars", "n_lines"])
 
     chosen = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return chosen.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_lines long")
+    return arrow_map(chosen, run, "page_id long, url string, text string, n_chars long, n_lines long")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep, slices
+from .common import arrow_map, keep, slices
 
 #: Documented bound of the labelled records that the trigram models are fitted on, shared among the languages; least number of a language's records for a model.
 FIT_ROWS, LEAST_TEXTS = 20_000, 20
@@ -96,7 +96,7 @@ def fit_text(records: DataFrame, rows: int = FIT_ROWS) -> TextModel:
                 slots, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(slots) + 1), pa.string()), pa.array(np.append(slots, -1)), pa.array(np.append(n, len(found)))], ["lang", "slot", "n"])
 
-    counted = labelled.where(share).mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    counted = arrow_map(labelled.where(share), count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     kept = keep(counted, "trigrams")
     languages = sorted(r.lang for r in kept.where("slot = -1").toLocalIterator())  # one row for each code in the sample
     tables = np.zeros((len(languages), SLOTS), np.float64)
@@ -143,7 +143,7 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], pa.string()) for i in range(5))], ["id", *EVIDENCE])
 
     chosen = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    made = chosen.mapInArrow(run, "id long, text string, declared string, suffix string, host string, domain string")
+    made = arrow_map(chosen, run, "id long, text string, declared string, suffix string, host string, domain string")
     return made.select(F.struct(F.lit(None).cast("long").alias("doc_id"), F.col("id").alias("page_id")).alias("row"), *EVIDENCE)
 
 
@@ -170,7 +170,7 @@ def read_texts(records: DataFrame, model: TextModel, text_field: str | None = No
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array([x.tolist() for x, _, _ in found], pa.list_(pa.float64())), pa.array([n for _, n, _ in found], pa.int64()), pa.array(best, pa.int32())], [*names, "loglik", "n_trigrams", "speaks"])
 
     made = T.StructType([kinds[n] for n in names]).add("loglik", T.ArrayType(T.DoubleType())).add("n_trigrams", T.LongType()).add("speaks", T.IntegerType())
-    return records.select("row", *[F.lower(F.trim(n)).alias(n) for n in EVIDENCE[1:]], *(["text"] if text_field is None else [])).mapInArrow(run, made)
+    return arrow_map(records.select("row", *[F.lower(F.trim(n)).alias(n) for n in EVIDENCE[1:]], *(["text"] if text_field is None else [])), run, made)
 
 
 def _counts(read: DataFrame, key: str, size: int) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import arrow_map, slices
 
 #: Documented bound of the paragraphs of the corpus that stand for UNKNOWN in the fit, and of the template variants for each family.
 FIT_PARAGRAPHS, VARIANTS = 4_000, 160
@@ -259,4 +259,4 @@ def scan(docs: DataFrame, model: Model, templates: dict[str, list[str]] = TEMPLA
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["doc_id", "n_paragraphs", "families", "paragraphs", "predicted", "probabilities", "similarities"])
 
     schema = "doc_id long, n_paragraphs long, families array<string>, paragraphs array<int>, predicted array<string>, probabilities array<double>, similarities array<double>"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, schema)

@@ -15,13 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, keep, local_forest, slices
+from .common import arrow_map, keep, slices
+from .similar_sets import BASE, MOST, one_of_equal, similar_components, weight_of
 
 SHINGLE, THRESHOLD = 8, 0.8
-#: A pair at the threshold is found with probability 1 - (1 - 63/64 * 0.8**5)**14 = 0.996, one at 0.9 in all but 5 of 10**6 cases.
+#: A pair at the threshold is found with probability 1 - (1 - 0.8**5)**14 = 0.996, one at 0.9 in all but 3 of 10**6 cases.
 BANDS, ROWS = 14, 5
-#: Buckets of over MOST different lines are dealt out again; so many bucket or line keys are broadcast at most.
-MOST, FEW = 20_000, 1_000_000
+#: So many bucket or line keys are broadcast at most.
+FEW = 1_000_000
 
 _M1, _M2, _P = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
@@ -106,7 +107,7 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text_key, text) -> (doc_id, text_key, line, h1, h2, bands) of every line that isn't blank."""
+    """(doc_id, text_key, text) -> (doc_id, text_key, line, size, h1, h2, bands) of every line that isn't blank."""
     from xxhash import xxh3_128_digest
 
     for batch in batches:
@@ -122,7 +123,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = band_keys(signatures(lines, BANDS * ROWS))
             taken = pa.array(docs, pa.int64())
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1) * BANDS, pa.int32()), pa.array(keys.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(taken), part.column(1).take(taken), pa.array(at, pa.int32()), pa.array(hashed[:, 0].copy()), pa.array(hashed[:, 1].copy()), flat], ["doc_id", "text_key", "line", "h1", "h2", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(taken), part.column(1).take(taken), pa.array(at, pa.int32()), pa.array([len(x) for x in lines], pa.int32()), pa.array(hashed[:, 0].copy()), pa.array(hashed[:, 1].copy()), flat], ["doc_id", "text_key", "line", "size", "h1", "h2", "bands"])
 
 
 def _lines_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,118 +136,24 @@ def _lines_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for x in at.as_py():
                     nodes.append(x["node"])
                     texts.append(normal(lines[x["line"]]))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], ["node", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], ["node", "body"])
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sorted sets; a stable sort of both merges them."""
-    merged = np.concatenate([a, b])
-    merged.sort(kind="stable")
-    both = np.count_nonzero(merged[1:] == merged[:-1])
-    return both / max(1, len(merged) - both)
-
-
-class _Bucket:
-    """The lines of one bucket so far: shingle sets, bit maps of them and components.
-
-    A bit of one map that the other lacks stands for a shingle that the other lacks, so the maps bound every Jaccard
-    similarity from above; only lines that the bound lets through are compared exactly, one for each component at best.
-    """
-
-    WORDS = 32
-
-    def __init__(self, threshold: float):
-        self.threshold = threshold
-        self.names: list[int] = []
-        self.sets: list[np.ndarray] = []
-        self.maps = np.zeros((4, self.WORDS), np.uint64)
-        self.sizes = np.zeros(4, np.int64)
-        self.groups = np.zeros(4, np.int64)
-
-    def _map(self, own: np.ndarray) -> np.ndarray:
-        bits = np.zeros(self.WORDS * 64, bool)
-        bits[own % np.uint64(self.WORDS * 64)] = True
-        return np.packbits(bits, bitorder="little").view(np.uint64)
-
-    def add(self, name: int, own: np.ndarray) -> list[tuple[int, int]]:
-        """The links of a new line to earlier ones, at most one to each component."""
-        n, size = len(self.names), len(own)
-        if n < 2:  # most buckets stay this small, so maps are made from the third line on
-            found = []
-            if n and min(size, len(self.sets[0])) >= self.threshold * max(size, len(self.sets[0])) and jaccard(own, self.sets[0]) >= self.threshold:
-                found = [(name, self.names[0])]
-            self.names.append(name)
-            self.sets.append(own)
-            self.groups[n] = 1 if found else n
-            self.groups[0] = 1 if found else 0
-            return found
-        if n == 2:
-            for i, x in enumerate(self.sets):
-                self.maps[i], self.sizes[i] = self._map(x), len(x)
-        mine = self._map(own)
-        found = []
-        maps, sizes = self.maps[:n], self.sizes[:n]
-        both = np.minimum(size - np.bitwise_count(mine & ~maps).sum(axis=1, dtype=np.int64), sizes - np.bitwise_count(maps & ~mine).sum(axis=1, dtype=np.int64))
-        bound = both / (size + sizes - both)
-        near = np.flatnonzero(bound >= self.threshold)
-        near = near[np.argsort(-bound[near], kind="stable")]
-        while len(near):
-            i = int(near[0])
-            if jaccard(own, self.sets[i]) >= self.threshold:
-                found.append((name, self.names[i]))
-                group = self.groups[i]
-                near = near[self.groups[near] != group]
-                self.groups[:n][self.groups[:n] == group] = n
-            else:
-                near = near[1:]
-        if n == len(self.maps):
-            self.maps, self.sizes, self.groups = (np.concatenate([x, np.zeros_like(x)]) for x in (self.maps, self.sizes, self.groups))
-        self.names.append(name)
-        self.sets.append(own)
-        self.maps[n], self.sizes[n], self.groups[n] = mine, size, n
-        return found
-
-
-def _verify_sorted(threshold: float):
-    """Over (key, node, text) rows that come sorted by key: links that connect all similar lines of each bucket."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, bucket = None, _Bucket(threshold)
-        for batch in batches:
-            made: list[tuple[int, int]] = []
-            for part in slices(batch, 1 << 20):
-                keys, nodes = part.column(0).to_pylist(), part.column(1).to_pylist()
-                for k, node, own in zip(keys, nodes, shingle_sets(part.column(2).to_pylist()), strict=True):
-                    if k != key:
-                        key, bucket = k, _Bucket(threshold)
-                    made += bucket.add(node, own)
-            a, b = local_forest(np.array([m[0] for m in made], np.int64), np.array([m[1] for m in made], np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    return run
-
-
-def _prefix_keys(threshold: float):
-    """(key, node, text) -> a row for each of the line's first shingles in hash order: similar lines share one (prefix filter)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 1 << 20):
-                keys, rows = [], []
-                for i, (key, own) in enumerate(zip(part.column(0).to_pylist(), shingle_sets(part.column(2).to_pylist()), strict=True)):
-                    first = own[: len(own) - int(np.ceil(threshold * len(own))) + 1]
-                    keys.append(_mix(first ^ np.uint64(key & 0xFFFFFFFFFFFFFFFF)).view(np.int64))
-                    rows.append(np.full(len(first), i))
-                taken = pa.array(np.concatenate(rows) if rows else np.empty(0, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)), part.column(1).take(taken), part.column(2).take(taken)], ["key", "node", "text"])
-
-    return run
+def _line_sets(lines: pa.Array) -> list[np.ndarray]:
+    return shingle_sets(lines.to_pylist())
 
 
 def _with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_key"), F.col(text_col).cast("string").alias("text"))
 
 
+def _names(different: DataFrame) -> F.Column:
+    """The name of a line as a long: its first 64 bits, or a hash of all 128 where two different lines share those."""
+    clashes = different.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1")
+    found = [r.h1 for r in clashes.toLocalIterator()]  # at 10**11 lines some 300
+    return F.when(F.col("h1").isin(found), F.xxhash64("h1", "h2")).otherwise(F.col("h1")) if found else F.col("h1")
+
+
 def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
     """(doc_id, text_key, dropped array<int>, first_doc_ids array<long>): the lines (from 0) of each document that go, and for each the
     document that holds the line that stays for it.  text_key is xxhash64 of the text.
@@ -255,35 +162,27 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     least text_key, then the first.  Rows equal in id and text count as one document.  Documents that lose nothing have no row.
     """
     rows = _with_keys(docs, id_col, text_col)
-    signed = keep(rows.mapInArrow(_sign, "doc_id long, text_key long, line int, h1 long, h2 long, bands array<long>"), "signatures", **{"parquet.enable.dictionary": "false"})
+    signed = keep(arrow_map(rows, _sign, "doc_id long, text_key long, line int, size int, h1 long, h2 long, bands array<long>"), "signatures", **{"parquet.enable.dictionary": "false"})
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "line")
     # One row for each different line.
     different = keep(signed.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n")), "different-lines")
-    # A bit for each line tells buckets of several lines (63 of 64) from those of one line that occurs often.
-    keys = signed.select(F.explode("bands").alias("key"), "h1")
-    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(h1, key), 64) as int))")
-    full = keep(keys.groupBy("key").agg(F.bit_or(bit).alias("bits"), F.count(F.lit(1)).alias("n")).where("bit_count(bits) > 1").select("key", "n"), "line-buckets")
+    node = _names(different)
+    # Buckets of several different lines; a line that occurs often is no such bucket.
+    keys = signed.select(F.explode("bands").alias("key"), node.alias("node"), weight_of("size").alias("weight"))
+    full = keep(keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key"), "line-buckets")
     few = full.count() <= FEW
-    shared = keep(keys.join(F.broadcast(full) if few else full, "key").select("key", F.col("h1").alias("node"), "n").distinct(), "line-candidates")
-    # Bands mostly gather the same lines: of the buckets with equal members (told by two hashes over them) one is enough.
-    members = shared.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    chosen = members.where("m > 1").groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key", F.col("m").alias("n"))
-    shared = keep(shared.select("key", "node").join(chosen, "key"), "line-buckets")
+    shared = keep(keys.join(F.broadcast(full) if few else full, "key").distinct(), "line-candidates")
+    # Bands mostly gather the same lines: of the buckets with equal members one is enough.
+    shared = one_of_equal(shared, "line-buckets")
     # The candidates' texts, each from the place where it stands first.
     nodes = shared.select("node").distinct()
-    wanted = different.join(nodes, different["h1"] == nodes["node"]).select(F.col("place.doc_id").alias("at_id"), F.col("place.text_key").alias("at_key"), F.struct("place.line", "node").alias("at"))
+    wanted = different.withColumn("node", node).join(nodes, "node").select(F.col("place.doc_id").alias("at_id"), F.col("place.text_key").alias("at_key"), F.struct("place.line", "node").alias("at"))
     wanted = keep(wanted.groupBy("at_id", "at_key").agg(F.collect_list("at").alias("at")), "line-places")  # bounded by the document's own lines
     near = F.broadcast(wanted) if nodes.count() <= FEW else wanted
     found = rows.join(near, rows["doc_id"].eqNullSafe(near["at_id"]) & (rows["text_key"] == near["at_key"]))
-    texts = keep(found.select("text", "at").mapInArrow(_lines_at, "node long, text string").dropDuplicates(["node"]), "line-texts")
-    bucket = shared.join(texts, "node").select("key", "node", "text", "n")
-    crowded = bucket.where(F.col("n") > most).drop("n").mapInArrow(_prefix_keys(threshold), "key long, node long, text string").distinct()
-    links = None
-    for part in (bucket.where(F.col("n") <= most).drop("n"), crowded):
-        made = part.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_verify_sorted(threshold), "a long, b long")
-        links = made if links is None else links.union(made)
-    roots = components(links)
-    placed = different.join(roots, different["h1"] == roots["node"], "left").select("h1", "h2", "place", "n", F.coalesce("root", "h1").alias("root"))
+    texts = keep(arrow_map(found.select("text", "at"), _lines_at, "node long, body string").dropDuplicates(["node"]).withColumn("weight", F.length("body") + BASE), "line-texts")
+    roots = similar_components(shared, texts, _line_sets, threshold, most)
+    placed = different.withColumn("node", node).join(roots, "node", "left").select("h1", "h2", "place", "n", F.coalesce("root", "node").alias("root"))
     best = placed.groupBy("root").agg(F.min("place").alias("stays"), F.sum("n").alias("all")).where("all > 1")
     decided = placed.join(best, "root").select("h1", "h2", "stays")
     gone = signed.select("doc_id", "text_key", "line", "h1", "h2").join(decided, ["h1", "h2"])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import arrow_map, slices
 
 # Fixed values of the format: tags, sizes and codes of field types, compressions.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS, STRIP_BYTES, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
@@ -289,7 +289,7 @@ def tiff_pages(media: DataFrame, id_col: str, blob_col: str, data: bool = True)
             yield out(rows)
 
     kind = media.schema[id_col].dataType.simpleString()
-    made = media.select(F.col(id_col).cast("string").alias("id"), F.col(blob_col).cast("binary").alias("blob")).mapInArrow(run, "id string, page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean, data binary, error string")
+    made = arrow_map(media.select(F.col(id_col).cast("string").alias("id"), F.col(blob_col).cast("binary").alias("blob")), run, "id string, page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean, data binary, error string")
     return made.withColumn("id", F.col("id").cast(kind))
 
 
@@ -346,4 +346,4 @@ def texts_as_tiff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * media
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, schema)

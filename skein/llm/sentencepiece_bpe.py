@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import arrow_map, slices
 
 SPACE = "▁"
 #: Bounds of what a task remembers; beyond them it starts anew, and results stay the same.
@@ -213,4 +213,4 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([arrays[n] for n in names], names)
 
     kept = "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded string, decoded_sha256 string" if ids else "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, kept)
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, kept)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, keep, local_forest, slices
+from .common import arrow_map, components, keep, local_forest, slices
 
 MOST = 20_000
 #: Buckets (two longs each) that are broadcast at most.
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out.view(np.int64))], ["doc_id", "text_key", "fp"])
 
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(run, "doc_id long, text_key long, fp long")
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")), run, "doc_id long, text_key long, fp long")
 
 
 def segment_keys(fp: str = "fp") -> F.Column:
@@ -145,7 +145,7 @@ def link_fingerprints(different: DataFrame, differ: int = 2, most: int = MOST) -
     coarse = shared.where(F.col("n") <= most).select("key", "fp")
     found = None
     for part in (coarse, fine):
-        made = part.repartition("key").sortWithinPartitions("key").mapInArrow(_links_of_sorted(differ), "a long, b long")
+        made = arrow_map(part.repartition("key").sortWithinPartitions("key"), _links_of_sorted(differ), "a long, b long")
         found = made if found is None else found.union(made)
     return found.distinct()
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import scratch_path, slices
+from .common import arrow_map, scratch_path, slices
 
 #: Bound of the runs of letters that a worker remembers; beyond it, it starts anew.
 WORDS, LONGEST = 400_000, 48
@@ -197,7 +197,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2,
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     options = {"compression": "zstd", "orc.stripe.size": str(stripe_bytes), "orc.row.index.stride": str(row_index), "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
-    dealt.mapInArrow(run, SCHEMA).write.options(**options).orc(path)
+    arrow_map(dealt, run, SCHEMA).write.options(**options).orc(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -224,7 +224,7 @@ def describe_ids(spark: SparkSession, path: str) -> DataFrame:
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     earlier = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
     before = files.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))  # one row for each file
-    seen = rows.select("doc_id", "file", "at", "ids").mapInArrow(run, "doc_id long, file long, at long, n_tokens long, ids_crc32 long")
+    seen = arrow_map(rows.select("doc_id", "file", "at", "ids"), run, "doc_id long, file long, at long, n_tokens long, ids_crc32 long")
     return seen.join(F.broadcast(before), "file").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import arrow_map, slices
 
 #: Documented bound of the labelled rows that the classifier is fitted on, half for weights and half for calibration.
 FIT_ROWS = 40_000
@@ -200,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str =
     """
     known = _labelled(docs, labels, rows, id_col, text_col)
     model = Model()
-    counted = known.where("part = 0").select("text", "toxic").mapInArrow(_count, "feature string, clean long, toxic long")
+    counted = arrow_map(known.where("part = 0").select("text", "toxic"), _count, "feature string, clean long, toxic long")
     counts = counted.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("clean") + F.col("toxic") >= LEAST)
     # Bounded by the sample: at most the words of `rows` texts over LEAST.
     model.odds = log_odds({r.feature: (r.clean, r.toxic) for r in counts.toLocalIterator()})
@@ -221,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str =
             yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.list_(pa.float64()))], ["toxic", "words", "best"])
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0], pa.int64()), pa.array([bins.astype(float)], pa.list_(pa.float64()))], ["toxic", "words", "best"])
 
-    seen = known.where("part = 2").select("text", "toxic").mapInArrow(scan, "toxic int, words long, best array<double>").collect()  # bounded by `rows`
+    seen = arrow_map(known.where("part = 2").select("text", "toxic"), scan, "toxic int, words long, best array<double>").collect()  # bounded by `rows`
     bins = sum((np.array(r.best) for r in seen if r.toxic < 0), np.zeros(round(2 * (MOST + 1) / step)))
     rows_seen = [r for r in seen if r.toxic >= 0 and r.words]
     model.rate = extreme_value_rate(np.arange(len(bins)) * step - MOST - 1, bins)
@@ -275,4 +275,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["doc_id", "score", "n_words", "n_passages", "best", "starts", "ends"])
 
     schema = "doc_id long, score double, n_words long, n_passages long, best double, starts array<int>, ends array<int>"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, schema)

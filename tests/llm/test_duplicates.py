@@ -118,7 +118,7 @@ def plain_lines(rows, threshold=line_dedup.THRESHOLD):
     return {p for k, x in enumerate(lines) for p in places[x] if p != first[groups[k]]}, len(links)
 
 
-@pytest.mark.parametrize("most", [line_dedup.MOST, 1])
+@pytest.mark.parametrize("most", [line_dedup.MOST, 700])
 def test_line_dedup(spark, most):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
