@@ -26,13 +26,16 @@ from .common import arrow_map, keep, slices
 #: Documented bound of the labelled records that the trigram models are fitted on, shared among the languages; least number of a language's records for a model.
 FIT_ROWS, LEAST_TEXTS = 20_000, 20
 SLOTS = 1 << 18
-#: Exponent of the text's likelihood, its cap in trigrams, strength of each level of priors in records.
+#: Exponent of the text's likelihood; the trigrams' worth that a text of any length speaks with at most (all its trigrams are read: the mean
+#: over them counts as so many), so that declaration and host can still weigh against a long text; strength of each level of priors in records.
 TEMPER, MOST_TRIGRAMS, PRIOR = 0.3, 400, 20.0
 #: Least posterior (texts in two languages are kept), least letters and least advantage a trigram over text of no language, for a decision.
 SURE, LETTERS, MARGIN = 0.34, 3, 0.0
 #: A trigram that a language lacks costs at most so much more than one of no language.
 FLOOR = 3.0
 UNKNOWN = "und"
+#: Hosts, domains or codes whose counts are broadcast at most; beyond, the join is a shuffle in which each key has SALTS parts.
+FEW, SALTS = 200_000, 32
 EVIDENCE = ["text", "declared", "suffix", "host", "domain"]
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -180,6 +183,17 @@ def _counts(read: DataFrame, key: str, size: int) -> DataFrame:
     return keep(counted.select(F.col(key), F.array(*[F.col(f"n{i}") for i in range(size)]).alias(f"{key}_n")), f"by-{key}")
 
 
+def _with_counts(rows: DataFrame, counts: DataFrame, key: str) -> DataFrame:
+    """rows left-joined with the counts of their key; rows without key and rows of a frequent key are dealt out over many tasks."""
+    if counts.count() <= FEW:
+        return rows.join(F.broadcast(counts), key, "left")
+    own = F.xxhash64("row", "loglik")  # by content, so a task that runs again deals its rows out alike
+    salted = counts.select(F.col(key).alias("_key"), f"{key}_n", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    lone = F.concat(F.lit("\0"), own.cast("string"))  # equal to no key
+    dealt = rows.withColumn("_part", F.pmod(own, F.lit(SALTS))).withColumn("_at", F.coalesce(F.col(key), lone))
+    return dealt.join(salted, (F.col("_at") == F.col("_key")) & (F.col("_part") == F.col("_salt")), "left").drop("_part", "_at", "_key", "_salt")
+
+
 def identify(records: DataFrame, model: TextModel, twice: bool = False, text_field: str | None = None) -> DataFrame:
     """(the fields of row, id_lang, id_posterior, id_accepted, id_text_lang, id_declared): one row for each record.
 
@@ -201,7 +215,7 @@ def identify(records: DataFrame, model: TextModel, twice: bool = False, text_fie
     world = F.array(*[F.lit(float(x)) for x in total / total.sum()])
     joined = read.withColumn("_world", world)
     for key in ("host", "domain", "declared", "suffix"):
-        joined = joined.join(_counts(seen, key, size), key, "left")
+        joined = _with_counts(joined, _counts(seen, key, size), key)
     none = F.array(*[F.lit(0.0)] * size)
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
 
