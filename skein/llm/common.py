@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 from skein.sources.scratch import forget, keep, release_scratch, scratch_path, shared_dir  # noqa: F401
 
 Batches = Iterator[pa.RecordBatch]
+#: Rows travel to Python in batches of so many bytes (a session's own setting goes before), so long texts don't pile up.
+BATCH_BYTES, _BATCH_SETTING, _BATCH_DEFAULT = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def _give_back() -> None:
@@ -31,7 +33,9 @@ def _give_back() -> None:
 
 
 def arrow_map(df: DataFrame, run: Callable[[Batches], Batches], schema: str | T.StructType) -> DataFrame:
-    """df.mapInArrow whose workers hand their free memory back at the end of each task."""
+    """df.mapInArrow over batches of BATCH_BYTES, whose workers hand their free memory back at the end of each task."""
+    if df.sparkSession.conf.get(_BATCH_SETTING) == _BATCH_DEFAULT:
+        df.sparkSession.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
     @wraps(run)
     def whole(batches: Batches) -> Batches:

@@ -24,7 +24,7 @@ from .common import arrow_map, slices
 
 SPACE = "▁"
 #: Bounds of what a task remembers; beyond them it starts anew, and results stay the same.
-WORDS, PAIRS, LONGEST = 300_000, 500_000, 48
+WORDS, PAIRS, LONGEST = 120_000, 250_000, 48
 
 
 class Encoder:
@@ -201,7 +201,7 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model_file)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 4 << 20):
                 made: list[list] = [[], [], [], [], []]
                 for text in part.column(1):
                     found = encoder.encode(text.as_py())
