@@ -1,7 +1,9 @@
 """TIFF images in binary columns: a reader that emits one row per page, and a writer of grey pages.
 
 The reader walks the chain of image directories of both byte orders, takes strips or tiles, undoes no compression,
-PackBits, LZW or deflate and the horizontal predictor, and returns the samples of each page.
+PackBits, LZW or deflate and the horizontal predictor, and returns the samples of each page (unsigned, of 1 to 32 bits, in
+either bit order).  Nothing a file says is believed before it is checked: output is bounded by the page's size, that by
+PAGE_BYTES and by what the stored bytes can hold, and every damage is a ValueError.
 """
 
 from __future__ import annotations
@@ -21,16 +23,22 @@ from .common import arrow_map, slices
 
 # Fixed values of the format: tags, sizes and codes of field types, compressions.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS, STRIP_BYTES, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
-TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES, FILL_ORDER = 322, 323, 324, 325, 266
+TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES, FILL_ORDER, SAMPLE_FORMAT = 322, 323, 324, 325, 266, 339
 TYPES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
+# The most bytes that one stored byte can stand for.
+_GROWTH = {NONE: 1, PACKBITS: 64, LZW: 4096, DEFLATE: 1040, OLD_DEFLATE: 1040}
+#: Pages of more bytes of samples are reported as errors; a row holds a whole page, and Arrow's binary values end at 2 GiB.
+PAGE_BYTES = 1 << 30
+_TURNED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 CODECS = {"none": NONE, "lzw": LZW, "deflate": DEFLATE, "packbits": PACKBITS}
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, size: int = PAGE_BYTES) -> bytes:
+    """The first `size` bytes (up to 127 more), or fewer if the data end before."""
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and len(out) < size:
         n = data[i]
         i += 1
         if n < 128:
@@ -61,14 +69,14 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, high bits first; the width grows one code early, as the format asks."""
+def lzw_decode(data: bytes, size: int = PAGE_BYTES) -> bytes:
+    """The first `size` bytes or a few more.  Codes of 9 to 12 bits, high bits first; the width grows one code early, as the format asks."""
     clear, end = 256, 257
     first = [bytes((i,)) for i in range(256)] + [b"", b""]
     table, out, before = list(first), [], None
-    bits = have = at = 0
+    bits = have = at = made = 0
     width = 9
-    while True:
+    while made < size:
         while have < width:
             if at == len(data):
                 return b"".join(out)
@@ -80,16 +88,19 @@ def lzw_decode(data: bytes) -> bytes:
         if code == clear:
             table, before, width = list(first), None, 9
             continue
+        if code > (255 if before is None else min(len(table), 4095)):
+            raise ValueError("a code beyond the table")
         if before is None:
             entry = table[code]
         else:
-            if code > len(table):
-                raise ValueError("a code beyond the table")
             entry = table[code] if code < len(table) else before + before[:1]
-            table.append(before + entry[:1])
+            if len(table) < 4096:
+                table.append(before + entry[:1])
         out.append(entry)
+        made += len(entry)
         before = entry
         width = 12 if len(table) >= 2047 else 11 if len(table) >= 1023 else 10 if len(table) >= 511 else 9
+    return b"".join(out)
 
 
 def lzw_encode(data: bytes) -> bytes:
@@ -131,11 +142,14 @@ def _inflate(kind: int, data: bytes, size: int) -> bytes:
     if kind == NONE:
         return data[:size]
     if kind == PACKBITS:
-        return unpack_bits(data)[:size]
+        return unpack_bits(data, size)[:size]
     if kind == LZW:
-        return lzw_decode(data)[:size]
+        return lzw_decode(data, size)[:size]
     if kind in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompressobj().decompress(data, size)
+        try:
+            return zlib.decompressobj().decompress(data, size)
+        except zlib.error as e:
+            raise ValueError(f"broken deflate data: {e}") from e
     raise ValueError(f"compression {kind}")
 
 
@@ -157,62 +171,86 @@ class Page:
     data: np.ndarray  # height x width x samples
 
 
-def read_pages(blob: bytes) -> Iterator[Page]:
-    """The pages of a TIFF file in the order of its image directories; raises ValueError if it is not one."""
+Tags = dict[int, tuple[int, ...]]
+
+
+def directories(blob: bytes) -> Iterator[tuple[str, Tags]]:
+    """Byte order and tags of the image directories, in the order of their chain; ValueError where the chain breaks."""
     order = {b"II*\x00": "<", b"MM\x00*": ">"}.get(blob[:4])
     if order is None or len(blob) < 8:
         raise ValueError("not a TIFF file")
-    at, seen, page = struct.unpack(f"{order}I", blob[4:8])[0], set(), 0
+    at, seen = struct.unpack(f"{order}I", blob[4:8])[0], set()
     while at:
         if at in seen or at + 2 > len(blob):
             raise ValueError("a broken chain of directories")
         seen.add(at)
         (entries,) = struct.unpack_from(f"{order}H", blob, at)
-        tags: dict[int, tuple[int, ...]] = {}
-        try:
-            for i in range(entries):
-                tag, kind, count = struct.unpack_from(f"{order}HHI", blob, at + 2 + 12 * i)
-                if kind in TYPES:
-                    where = at + 10 + 12 * i
-                    if TYPE_BYTES[kind] * count > 4:
-                        (where,) = struct.unpack_from(f"{order}I", blob, where)
-                    tags[tag] = struct.unpack_from(f"{order}{count}{TYPES[kind]}", blob, where)
-            (after,) = struct.unpack_from(f"{order}I", blob, at + 2 + 12 * entries)
-        except struct.error as e:
-            raise ValueError("a directory beyond the file") from e
-        yield _page(blob, order, tags, page)
-        at, page = after, page + 1
-
-
-def _page(blob: bytes, order: str, tags: dict[int, tuple[int, ...]], number: int) -> Page:
-    one = lambda tag, other: tags.get(tag, (other,))[0]
-    try:
-        width, height = tags[WIDTH][0], tags[HEIGHT][0]
-    except KeyError as e:
-        raise ValueError("a page without width or height") from e
-    samples, bits, kind, predictor = one(SAMPLES, 1), one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)
-    if bits not in (8, 16) or set(tags.get(BITS, (bits,))) != {bits} or one(FILL_ORDER, 1) != 1 or predictor not in (1, 2):
-        raise ValueError("samples of another kind than 8 or 16 bits, high bits first, horizontal predictor or none")
+        end = at + 2 + 12 * entries
+        if end + 4 > len(blob):
+            raise ValueError("a directory beyond the file")
+        tags: Tags = {}
+        for i in range(at + 2, end, 12):
+            tag, kind, count = struct.unpack_from(f"{order}HHI", blob, i)
+            if kind not in TYPES:
+                continue
+            size = TYPE_BYTES[kind] * count
+            where = i + 8 if size <= 4 else struct.unpack_from(f"{order}I", blob, i + 8)[0]
+            if where + size <= len(blob):  # values beyond the file are none
+                tags[tag] = struct.unpack_from(f"{order}{count}{TYPES[kind]}", blob, where)
+        yield order, tags
+        (at,) = struct.unpack_from(f"{order}I", blob, end)
+
+
+def read_pages(blob: bytes) -> Iterator[Page]:
+    """The pages of a TIFF file in the order of its image directories; ValueError at the first damage."""
+    for number, (order, tags) in enumerate(directories(blob)):
+        yield _page(blob, order, tags, number)
+
+
+def _page(blob: bytes, order: str, tags: Tags, number: int) -> Page:
+    def one(tag: int, other: int | None = None) -> int:
+        value = (tags.get(tag) or (other,))[0]
+        if value is None:
+            raise ValueError(f"a page without tag {tag}")
+        return value
+
+    width, height, samples, bits, kind, predictor = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)
+    if min(width, height, samples) < 1:
+        raise ValueError("a page without samples")
+    if bits not in (1, 2, 4, 8, 16, 32) or set(tags.get(BITS) or (bits,)) != {bits} or set(tags.get(SAMPLE_FORMAT) or (1,)) != {1}:
+        raise ValueError("samples of another kind than unsigned ones of 1, 2, 4, 8, 16 or 32 bits")
+    if predictor not in (1, 2) or (predictor == 2 and bits < 8):
+        raise ValueError(f"predictor {predictor} for samples of {bits} bits")
+    if kind not in _GROWTH:
+        raise ValueError(f"compression {kind}")
     planes = samples if one(PLANAR, 1) == 2 else 1
     each = samples // planes
     tiled = TILES in tags
-    starts, sizes = (tags[TILES], tags[TILE_BYTES]) if tiled else (tags.get(STRIPS, ()), tags.get(STRIP_BYTES, ()))
-    wide, high = (tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]) if tiled else (width, min(one(ROWS, height), height) or 1)
-    across, down = -(-width // wide) if wide else 0, -(-height // high)
-    if len(starts) < across * down * planes or len(sizes) < across * down * planes:
+    starts, sizes = tags.get(TILES if tiled else STRIPS, ()), tags.get(TILE_BYTES if tiled else STRIP_BYTES, ())
+    wide, high = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(one(ROWS, height), height))
+    if min(wide, high) < 1:
+        raise ValueError("strips or tiles without samples")
+    across, down = -(-width // wide), -(-height // high)
+    parts = across * down * planes
+    if len(starts) < parts or len(sizes) < parts:
         raise ValueError("strips or tiles are missing")
-    kind_of = np.dtype(f"{order}u{bits // 8}")
+    line = -(-wide * each * bits // 8)  # bytes of a row of a strip or tile
+    kind_of = np.dtype(f"{order}u{max(1, bits // 8)}")
+    if width * height * samples * kind_of.itemsize > PAGE_BYTES or line * high > PAGE_BYTES:
+        raise ValueError("a page of more bytes than PAGE_BYTES")
+    if min(starts[:parts]) < 0 or min(sizes[:parts]) < 0 or width * height * samples * bits // 8 > _GROWTH[kind] * sum(sizes[:parts]):
+        raise ValueError("a page of more samples than its data can hold")
     data = np.zeros((height, width, samples), kind_of.newbyteorder("="))
     for plane in range(planes):
         for k in range(across * down):
             y, x = k // across * high, k % across * wide
             rows = high if tiled else min(high, height - y)
-            need = rows * wide * each * kind_of.itemsize
             start, size = starts[plane * across * down + k], sizes[plane * across * down + k]
-            raw = _inflate(kind, blob[start : start + size], need)
-            if len(raw) < need:
+            stored = blob[start : start + size]
+            raw = _inflate(kind, stored.translate(_TURNED) if one(FILL_ORDER, 1) == 2 else stored, rows * line)
+            if len(raw) < rows * line:
                 raise ValueError("a strip or tile is too short")
-            block = np.frombuffer(raw, kind_of).reshape(rows, wide, each).astype(data.dtype)
+            block = _samples(raw, kind_of, bits, rows, line)[:, : wide * each].reshape(rows, wide, each).astype(data.dtype)
             if predictor == 2:
                 block = np.cumsum(block, axis=1, dtype=data.dtype)
             h, w = min(rows, height - y), min(wide, width - x)
@@ -220,6 +258,15 @@ def _page(blob: bytes, order: str, tags: dict[int, tuple[int, ...]], number: int
     return Page(number, width, height, samples, bits, kind, predictor, tiled, one(PHOTOMETRIC, 1), data)
 
 
+def _samples(raw: bytes, kind_of: np.dtype, bits: int, rows: int, line: int) -> np.ndarray:
+    """rows x samples, those that fill up a row's last byte included."""
+    if bits >= 8:
+        return np.frombuffer(raw, kind_of, rows * line // kind_of.itemsize).reshape(rows, -1)
+    shifts = np.arange(8 - bits, -1, -bits, dtype=np.uint8)
+    packed = np.frombuffer(raw, np.uint8, rows * line).reshape(rows, line, 1)
+    return (packed >> shifts & np.uint8((1 << bits) - 1)).reshape(rows, -1)
+
+
 def write_pages(pages: list[np.ndarray], codec: str = "deflate", predictor: bool = True, rows: int = 64, tile: int = 0, order: str = "<") -> bytes:
     """A TIFF file of grey 8-bit pages (arrays of height x width), in strips of some rows or in square tiles."""
     kind = CODECS[codec]
@@ -258,11 +305,25 @@ def write_pages(pages: list[np.ndarray], codec: str = "deflate", predictor: bool
     return bytes(out)
 
 
+def page_rows(blob: bytes) -> Iterator[tuple[int | None, Page | None, str | None]]:
+    """(page number, page, error): a page that can't be read is an error with its number, a broken chain one without, at the end."""
+    number = 0
+    try:
+        for number, (order, tags) in enumerate(directories(blob)):
+            try:
+                yield number, _page(blob, order, tags, number), None
+            except ValueError as e:
+                yield number, None, str(e)
+    except ValueError as e:
+        yield None, None, str(e)
+
+
 def tiff_pages(media: DataFrame, id_col: str, blob_col: str, data: bool = True) -> DataFrame:
     """One row per page: id, page (from 0), width, height, samples, bits, compression, predictor, tiled, samples' bytes, error.
 
-    Samples are rows of pixels, values of 16 bits little-endian.  A null or empty blob gives no rows; a broken file
-    gives the pages before the damage, then one row with page null and the reason in error.  Ids may repeat or be null.
+    Samples are rows of pixels, one byte each up to 8 bits, else little-endian.  A null or empty blob gives no rows.  A page
+    that is damaged or of another kind gives a row with its number and the reason in error, and the next pages are read; a broken
+    chain of directories gives a last row with page null.  Ids may repeat or be null.
     """
     names = ["id", "page", "width", "height", "samples", "bits", "compression", "predictor", "tiled", "data", "error"]
     kinds = [pa.string(), *[pa.int32()] * 7, pa.bool_(), pa.binary(), pa.string()]
@@ -275,17 +336,16 @@ def tiff_pages(media: DataFrame, id_col: str, blob_col: str, data: bool = True)
             rows: list[tuple] = []
             size = 0
             for key, blob in zip(batch.column(0), batch.column(1), strict=True):
-                if blob := blob.as_py():
-                    try:
-                        for p in read_pages(blob):
-                            raw = p.data.astype(p.data.dtype.newbyteorder("<")).tobytes() if data else None
-                            rows.append((key.as_py(), p.page, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, raw, None))
-                            size += len(raw or b"")
-                            if size > 8 << 20:
-                                yield out(rows)
-                                rows, size = [], 0
-                    except (ValueError, zlib.error) as e:
-                        rows.append((key.as_py(), *[None] * 9, str(e)))
+                for number, p, error in page_rows(stored) if (stored := blob.as_py()) else ():
+                    if p is None:
+                        rows.append((key.as_py(), number, *[None] * 8, error))
+                        continue
+                    raw = p.data.astype(p.data.dtype.newbyteorder("<")).tobytes() if data else None
+                    rows.append((key.as_py(), p.page, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, raw, None))
+                    size += len(raw or b"")
+                    if size > 8 << 20:
+                        yield out(rows)
+                        rows, size = [], 0
             yield out(rows)
 
     kind = media.schema[id_col].dataType.simpleString()
