@@ -5,11 +5,12 @@ task holds it and no pair of it is lost:
 
 1. Its members are dealt out in parts, each with the same few sampled members.  A member like a sampled one is linked to it,
    which makes one component of a dense crowd in linear work.
-2. Members of different components meet by a prefix filter: with the shingles in the order of how often they stand in
-   the sample, rarest first, two sets at the threshold share one of their first |x| - ceil(t |x|) + 1 shingles.  So sets
-   that have only the common part alike never meet, and groups of one component have nothing to compare.
-3. A group that is crowded still is compared block against block: the members of its largest component against the
-   others, and the others against one another.
+2. A bucket of one component is done.  Else the blocks of its heaviest component are compared with all others, if
+   these are one unit at most.
+3. If they are more, members of different components meet by a prefix filter: with the shingles in the order of how often
+   they stand in the sample, rarest first, two sets at the threshold share one of their first |x| - ceil(t |x|) + 1
+   shingles.  So sets that have only the common part alike never meet.  A group that is crowded still is compared block
+   against block, as in 2, and the others against one another.
 """
 
 from __future__ import annotations
@@ -181,6 +182,29 @@ def one_of_equal(shared: DataFrame, name: str = "buckets") -> DataFrame:
     return keep(shared.select("key", "node").join(chosen, "key"), name)
 
 
+def _with_blocks(members: DataFrame, by: str, most: int) -> DataFrame:
+    """members (by, node, known, weight) of groups of several components, with the group's heaviest component (main) and the numbers
+    of blocks of its sets (mains) and of all others."""
+    each = members.groupBy(by, "known").agg(F.sum("weight").alias("w"))
+    groups = each.groupBy(by).agg(F.max(F.struct("w", "known")).alias("main"), F.sum("w").alias("all"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    blocks = lambda w: F.greatest(F.lit(1), F.ceil(w / most).cast("int"))
+    return members.join(groups.select(by, F.col("main.known").alias("main"), blocks(F.col("main.w")).alias("mains"), blocks(F.col("all") - F.col("main.w")).alias("others")), by)
+
+
+def _units(met: DataFrame, by: str, kind: int) -> DataFrame:
+    """(id, kind, i, j, node, known): each set of the main component in a unit with each block of others, and each two blocks of others
+    in a unit; with one block of others it is whole in the former units."""
+    h, is_main = F.xxhash64("node", F.lit(4)), F.col("known") == F.col("main")
+    own = F.pmod(h, F.when(is_main, F.col("mains")).otherwise(F.col("others"))).cast("int")
+    unit = lambda k, i, j: F.struct(F.lit(k).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    upto = lambda name: F.sequence(F.lit(0), F.col(name) - 1)
+    against = F.transform(upto("others"), lambda j: unit(kind, F.col("own"), j))
+    others = F.transform(upto("mains"), lambda i: unit(kind, i, F.col("own")))
+    among = F.filter(F.transform(upto("others"), lambda j: unit(kind + 1, F.least(j, "own"), F.greatest(j, "own"))), lambda _: F.col("others") > 1)
+    chosen = F.when(is_main, against).otherwise(F.concat(others, among))
+    return met.withColumn("own", own).select(F.col(by).alias("id"), "node", "known", F.explode(chosen).alias("unit")).select("id", "unit.kind", "unit.i", "unit.j", "node", "known")
+
+
 def similar_components(shared: DataFrame, bodies: DataFrame, sets: Sets, threshold: float, most: int = MOST) -> DataFrame:
     """(node, root) as components() gives them, of all pairs of sets at the threshold that share a bucket.
 
@@ -202,23 +226,13 @@ def similar_components(shared: DataFrame, bodies: DataFrame, sets: Sets, thresho
     dealt = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "turn", "node")
     profile = keep(arrow_map(dealt, _profile(threshold, sets), "key long, node long, like long, prefix array<long>"), "profiles")
     roots = components(links.unionByName(profile.where("like <> node").select(F.col("node").alias("a"), F.col("like").alias("b"))))
-    tokens = profile.select("key", "node", F.explode("prefix").alias("shingle")).select(F.xxhash64("key", "shingle").alias("token"), "node")
-    wide = profile.select("node").distinct().join(roots, "node", "left").join(bodies, "node").select("node", F.coalesce("root", "node").alias("known"), "weight")
-    tokens = tokens.join(wide, "node")
-    # Groups of several components, with the weight of the largest one and of all others.
-    each = tokens.groupBy("token", "known").agg(F.sum("weight").alias("w"))
-    groups = each.groupBy("token").agg(F.max(F.struct("w", "known")).alias("main"), F.sum("w").alias("all"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks = lambda w: F.greatest(F.lit(1), F.ceil(w / most).cast("int"))
-    groups = groups.select("token", F.col("main.known").alias("main"), blocks(F.col("main.w")).alias("mains"), blocks(F.col("all") - F.col("main.w")).alias("others"))
-    met = tokens.join(groups, "token").withColumn("h", F.xxhash64("node", F.lit(4)))
-    is_main = F.col("known") == F.col("main")
-    own = F.when(is_main, F.pmod("h", F.col("mains"))).otherwise(F.pmod("h", F.col("others"))).cast("int")
-    unit = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
-    against = F.when(is_main, F.transform(F.expr("sequence(0, others - 1)"), lambda j: unit(0, F.col("own"), j)))
-    others = F.transform(F.expr("sequence(0, mains - 1)"), lambda i: unit(0, i, F.col("own")))
-    among = F.when(F.col("others") > 1, F.transform(F.expr("sequence(0, others - 1)"), lambda j: unit(1, F.least(j, "own"), F.greatest(j, "own")))).otherwise(F.expr("array()").cast("array<struct<kind:int,i:int,j:int>>"))
-    units = met.withColumn("own", own).select("token", "node", "known", F.explode(F.coalesce(against, F.concat(others, among))).alias("unit"))
-    units = units.join(bodies.select("node", "body"), "node").select("token", "unit.kind", "unit.i", "unit.j", "node", "known", "body")
-    dealt = units.repartition("token", "kind", "i", "j").sortWithinPartitions("token", "kind", "i", "j", "node")
+    members = profile.select("key", "node", "prefix").join(roots, "node", "left").join(bodies.select("node", "weight"), "node")
+    members = keep(members.select("key", "node", "prefix", F.coalesce("root", "node").alias("known"), "weight"), "members")
+    met = _with_blocks(members, "key", most)  # buckets of one component are done
+    few = met.where("others = 1").drop("prefix")
+    tokens = met.where("others > 1").select("node", "known", "weight", F.explode(F.transform("prefix", lambda x: F.xxhash64("key", x))).alias("token"))
+    units = _units(few, "key", 0).unionByName(_units(_with_blocks(tokens, "token", most), "token", 2))
+    dealt = units.join(bodies.select("node", "body"), "node").select("id", "kind", "i", "j", "node", "known", "body")
+    dealt = dealt.repartition("id", "kind", "i", "j").sortWithinPartitions("id", "kind", "i", "j", "node")
     more = arrow_map(dealt, _verify(threshold, sets, 4), "a long, b long")
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
