@@ -7,12 +7,14 @@ filter on term reaches the scan of materialised postings, and the per-term docum
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.scalar import query_terms, text_tokens
+from skein.functions.scalar import LOWER, STOP_WORDS, UPPER, query_terms, text_tokens
 
+# The parameters of the score.
 K1, B = 1.2, 0.75
 
 
@@ -27,9 +29,13 @@ class TextIndex:
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str, config: str = "english") -> DataFrame:
-    """(id, term, tf): one shuffle by (id, term), partial counts before it."""
-    tokens = docs.select(F.col(id_col).alias("id"), F.explode(text_tokens(text_col, config)).alias("term"))
-    return tokens.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(id, term, tf): a row's tokens are sorted and counted in place; the shuffle by (id, term) is for repeated ids only."""
+    tokens = docs.select(F.col(id_col).alias("id"), F.array_sort(text_tokens(text_col, config)).alias("ts"))
+    # Where a run of equal tokens starts and where the next one does.
+    cuts = F.expr("filter(sequence(0, size(ts)), i -> i = 0 OR i = size(ts) OR ts[i] <> ts[i - 1])")
+    runs = tokens.where(F.size("ts") > 0).select("id", "ts", cuts.alias("cuts"))
+    each = runs.select("id", F.explode(F.expr("transform(sequence(0, size(cuts) - 2), k -> struct(ts[cuts[k]] AS term, cast(cuts[k + 1] - cuts[k] AS bigint) AS tf))")).alias("x"))
+    return each.select("id", "x.term", "x.tf").groupBy("id", "term").agg(F.sum("tf").alias("tf"))
 
 
 def build_index(docs: DataFrame, id_col: str, text_col: str, config: str = "english") -> TextIndex:
@@ -83,3 +89,32 @@ def rank_index(index: TextIndex, query: str) -> DataFrame:
     part = weight * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     joined = hits.join(F.broadcast(df), "term").join(index.lengths, "id").crossJoin(F.broadcast(stats))
     return joined.groupBy("id").agg(F.sum(part).alias("score"))
+
+
+def term_stats(docs: DataFrame, text_col: str, config: str = "english") -> DataFrame:
+    """(term, df, n, dl, full): the number of rows with each term, sorted by term for pruning; in the row of the empty term the numbers of all
+    rows, of their tokens and of rows with tokens.  Such tables of parts of a corpus add up to that of the whole."""
+    tokens = docs.select(text_tokens(text_col, config).alias("ts"))
+    zero = F.lit(0).cast("bigint")
+    each = tokens.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    size = F.greatest(F.coalesce(F.size("ts"), F.lit(0)), F.lit(0))
+    whole = tokens.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("dl"), F.coalesce(F.sum((size > 0).cast("bigint")), F.lit(0)).alias("full"))
+    rows = each.select("term", "df", zero.alias("n"), zero.alias("dl"), zero.alias("full")).unionByName(whole.select(F.lit("").alias("term"), zero.alias("df"), "n", "dl", "full"))
+    return rows.repartitionByRange("term").sortWithinPartitions("term")
+
+
+def ranked_call(operand: str, terms: list[str], stats: dict[str, tuple[int, int, int, int]], config: str) -> str:
+    """SQL text of the corpus score of an operand, of built-in functions alone, so it may stand anywhere; stats: term -> (df, n, dl, full)."""
+    _, n, dl, full = stats.get("", (0, 0, 0, 0))
+    idf = [log((n - (df := stats.get(t, (0,))[0]) + 0.5) / (df + 0.5) + 1) for t in terms]
+    quoted = lambda words: ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+    if not terms:
+        return "0D"
+    stop = f" AND t NOT IN ({quoted(STOP_WORDS)})" if config == "english" else ""
+    tokens = f"filter(split(translate({operand}, '{UPPER}', '{LOWER}'), '[^\\\\p{{L}}\\\\p{{N}}]+'), t -> t <> ''{stop})"
+    counts = f"transform(array({quoted(terms)}), w -> CAST(size(filter(ts, t -> t = w)) AS DOUBLE))"
+    length = f"{1 - B!r}D + {B!r}D * try_divide(CAST(size(ts) AS DOUBLE), {float(dl / full if full else 1.0)!r}D)"
+    part = f"CASE WHEN tf > 0D THEN try_divide(i * tf * {K1 + 1!r}D, tf + {K1!r}D * ({length})) ELSE 0D END"
+    weights = ", ".join(f"{w!r}D" for w in idf)
+    # transform over one array of the tokens names them, so they are made once for all terms
+    return f"coalesce(element_at(transform(array({tokens}), ts -> aggregate(zip_with({counts}, array({weights}), (tf, i) -> {part}), 0D, (s, v) -> s + v)), 1), 0D)"

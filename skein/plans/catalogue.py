@@ -10,11 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.functions import scalar
 from skein.operators import dml, search, stats, vectors
 from skein.plans import dialect
 from skein.session import table
+from skein.sources.scratch import keep
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -223,15 +225,24 @@ def row_number(spark, d):
 def number_rows(df: DataFrame, order: list[F.Column], name: str) -> DataFrame:
     """ROW_NUMBER() OVER (ORDER BY ...) for large inputs; equal to the window without PARTITION BY, which uses one task.
 
-    The rows are dealt out by range and sorted; a task's rows are numbered by monotonically_increasing_id, whose upper
-    bits name the task, and one count for each task shifts them.  The dealt rows are computed twice (counts, rows) from
-    the same exchange.
+    The rows are dealt out by range, sorted and written once, each with its task and its place in it; one count for each task, from
+    the files, shifts the places.  Rows that are equal by `order` are dealt out by a hash of the whole row, so a frequent value
+    doesn't fill one task.
     """
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    dealt = dealt.withColumn("_task", F.shiftright("_id", 33)).withColumn("_place", F.col("_id").bitwiseAND((1 << 33) - 1))
-    sizes = dealt.groupBy("_task").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_task", (F.sum("_n").over(W.orderBy("_task")) - F.col("_n")).alias("_before"))  # one row for each task
-    return dealt.join(F.broadcast(before), "_task").select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + F.col("_place") + 1).alias(name))
+    plain = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    order = [*order, F.xxhash64(*plain).asc()]
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    kept = keep(dealt.withColumn("__task", F.shiftright("__id", 33)).withColumn("__place", F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id"), "numbered")
+    sizes = kept.groupBy("__task").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__task", (F.sum("__n").over(W.orderBy("__task")) - F.col("__n")).alias("__before"))  # one row for each task
+    return kept.join(F.broadcast(before), "__task").select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__before") + F.col("__place") + 1).alias(name))
+
+
+@query("SELECT *, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rn FROM lineitem")
+def row_number_payload(spark, d):
+    """With columns that the order doesn't name."""
+    order = [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber"), F.asc("l_partkey"), F.asc("l_suppkey")]
+    return number_rows(table(spark, d, "lineitem"), order, "rn")
 
 
 @query("SELECT c_custkey, c_mktsegment, c_acctbal FROM customer ORDER BY c_mktsegment ASC, c_acctbal DESC, c_custkey ASC")
