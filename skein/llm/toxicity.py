@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, slices
+from .common import arrow_map, keep, slices
 
 #: Documented bound of the labelled rows that the classifier is fitted on, half for weights and half for calibration.
 FIT_ROWS = 40_000
@@ -219,17 +219,26 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str =
                 best = sorted((s for _, _, s in segments), reverse=True)
                 made.append((toxic.as_py(), len(words), best))
             yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.list_(pa.float64()))], ["toxic", "words", "best"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0], pa.int64()), pa.array([bins.astype(float)], pa.list_(pa.float64()))], ["toxic", "words", "best"])
-
-    seen = arrow_map(known.where("part = 2").select("text", "toxic"), scan, "toxic int, words long, best array<double>").collect()  # bounded by `rows`
-    bins = sum((np.array(r.best) for r in seen if r.toxic < 0), np.zeros(round(2 * (MOST + 1) / step)))
-    rows_seen = [r for r in seen if r.toxic >= 0 and r.words]
+        for at in np.flatnonzero(bins).tolist():  # rows of the histogram of clean words' scores: -1, bin, count
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([at], pa.int64()), pa.array([[float(bins[at])]], pa.list_(pa.float64()))], ["toxic", "words", "best"])
+
+    # The segments stay with the executors; what comes to the driver is the histogram, one mean and two numbers for each of `rows` texts.
+    seen = keep(arrow_map(known.where("part = 2").select("text", "toxic"), scan, "toxic int, words long, best array<double>"), "segments")
+    bins = np.zeros(round(2 * (MOST + 1) / step))
+    for r in seen.where("toxic < 0").groupBy("words").agg(F.sum(F.col("best")[0]).alias("n")).collect():
+        bins[r.words] = r.n
+    texts = seen.where("toxic >= 0 and words > 0")
     model.rate = extreme_value_rate(np.arange(len(bins)) * step - MOST - 1, bins)
     # Location of the law: the mean of a Gumbel variable lies 0.5772 above it.
-    clean = [model.rate * (r.best[0] if r.best else 0.0) - log(r.words) for r in rows_seen if r.toxic == 0]
-    if clean:
-        model.log_k = sum(clean) / len(clean) - 0.5772156649
-    x = np.array([model.evidence(r.best, r.words) for r in rows_seen])
+    top = F.when(F.size("best") > 0, F.col("best")[0]).otherwise(0.0)
+    mean = texts.where("toxic = 0").agg(F.avg(F.lit(model.rate) * top - F.log("words"))).first()[0]
+    if mean is not None:
+        model.log_k = mean - 0.5772156649
+    excess = F.transform("best", lambda s: F.lit(model.rate) * s - F.lit(model.log_k) - F.log("words"))
+    real = F.filter(excess, lambda e: e > -log(model.significant))
+    evidence = F.log(F.lit(1.0) + F.aggregate(real, F.lit(0.0), lambda a, e: a + e))
+    rows_seen = texts.select("toxic", evidence.alias("evidence")).collect()  # bounded by `rows`
+    x = np.array([r.evidence for r in rows_seen])
     y = np.array([r.toxic for r in rows_seen], float)
     if len(y) and 0 < y.sum() < len(y):
         model.slope, model.offset = logistic(x, y)
