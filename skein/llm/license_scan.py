@@ -2,8 +2,8 @@
 
 Sparse word 1- and 2-grams feed a multinomial logistic regression over licence families and the class UNKNOWN (no or
 another licence).  It is fitted on variants of the templates and on a bounded sample of the corpus's own paragraphs.
-A held-out part calibrates its probabilities by a temperature; a paragraph whose best family stays under SURE is
-UNKNOWN.  A prediction counts as confirmed when the paragraph's words follow a template of that family closely.
+A temperature calibrates its probabilities on templates and paragraphs that the fit has not seen: folds are dealt by
+template and by source paragraph, with all their variants.  A paragraph whose best family stays under SURE is UNKNOWN.  A prediction counts as confirmed when the paragraph's words follow a template of that family closely.
 """
 
 from __future__ import annotations
@@ -23,8 +23,12 @@ from .common import arrow_map, slices
 
 #: Documented bound of the paragraphs of the corpus that stand for UNKNOWN in the fit, and of the template variants for each family.
 FIT_PARAGRAPHS, VARIANTS = 4_000, 160
-#: Least calibrated probability; least share of a paragraph's 2-grams that stand in one template.
-SURE, CONFIRM = 0.7, 0.6
+#: Words of a paragraph in that sample at most; longer ones are sampled piece by piece.
+FIT_WORDS = 400
+#: Least calibrated probability; least share of a paragraph's 2-grams that stand in one template, and least number of them.
+SURE, CONFIRM, SHARED = 0.7, 0.6, 3
+#: Folds of the calibration.
+FOLDS = 3
 UNKNOWN = "unknown"
 
 # Sentences of licence notices and texts by family, as their authors publish them for reuse.
@@ -171,59 +175,84 @@ def fit(corpus: list[str], templates: dict[str, list[str]] = TEMPLATES, seed: in
     vocabulary = sorted({g for _, w in known for g in grams(w) if common[g] <= 0.002 * max(1, len(plain))})
     place = {g: i for i, g in enumerate(vocabulary)}
     rows: list[tuple[list[str], int]] = []
+    folds: list[int] = []  # of the template or paragraph that the row comes from
     for k, f in enumerate(families):
         own = [w for g, w in known if g == f]
-        rows += [(w, k) for w in own for _ in range(4)]
+        for n, w in enumerate(own):
+            rows += [(w, k)] * 4
+            folds += [n % FOLDS] * 4
         for _ in range(VARIANTS):
-            w = rng.choice(own)
+            n = rng.randrange(len(own))
+            w = own[n]
             if len(w) > 12 and rng.random() < 0.4:  # a part of a long sentence
-                n = rng.randint(10, len(w))
-                start = rng.randint(0, len(w) - n)
-                w = w[start : start + n]
+                size = rng.randint(10, len(w))
+                start = rng.randint(0, len(w) - size)
+                w = w[start : start + size]
             w = [x for x in w if rng.random() > 0.06] or w
-            if plain and rng.random() < 0.3:  # in a paragraph with other words
-                extra = rng.choice(plain)[: rng.randint(1, 20)]
+            if plain and rng.random() < 0.3:  # in a paragraph with other words, of the same fold
+                extra = _of_fold(plain, n % FOLDS, rng)[: rng.randint(1, 20)]
                 w = w + extra if rng.random() < 0.5 else extra + w
             rows.append((w, k))
+            folds.append(n % FOLDS)
     unknown = len(families)
     rows += [(w, unknown) for w in plain]
+    folds += [i % FOLDS for i in range(len(plain))]
     loose = [w for _, ws in known for w in ws]
-    for _ in range(2 * VARIANTS):  # licence words without a licence's sentence
-        w = [rng.choice(loose) for _ in range(rng.randint(1, 3))] + (rng.choice(plain) if plain else [])
+    for i in range(2 * VARIANTS):  # licence words without a licence's sentence
+        w = [rng.choice(loose) for _ in range(rng.randint(1, 3))] + (_of_fold(plain, i % FOLDS, rng) if plain else [])
         rng.shuffle(w)
         rows.append((w, unknown))
+        folds.append(i % FOLDS)
     x = np.zeros((len(rows), len(place)), np.float32)
     for i, (w, _) in enumerate(rows):
         found = [place[g] for g in grams(w) if g in place]
         x[i, found] = 1 / max(1.0, len(found) ** 0.5)
-    y = np.array([k for _, k in rows])
-    held = np.array([rng.random() < 0.25 for _ in rows])
-    weights, bias = _fit_logistic(x[~held], y[~held], unknown + 1)
-    logits = x[held] @ weights + bias
+    y, fold = np.array([k for _, k in rows]), np.array(folds)
+    logits = np.zeros((len(rows), unknown + 1), np.float32)
+    for n in range(FOLDS):
+        weights, bias = _fit_logistic(x[fold != n], y[fold != n], unknown + 1)
+        logits[fold == n] = x[fold == n] @ weights + bias
 
     def loss(t: float) -> float:
         z = logits / t
         top = z.max(axis=1)
-        return float((top + np.log(np.exp(z - top[:, None]).sum(axis=1)) - z[np.arange(len(z)), y[held]]).mean())
+        return float((top + np.log(np.exp(z - top[:, None]).sum(axis=1)) - z[np.arange(len(z)), y]).mean())
 
-    temperature = min((0.05 * 1.15**k for k in range(40)), key=loss) if held.any() else 1.0
-    return Model(families, place, weights, bias, temperature)
+    temperature = min((0.05 * 1.15**k for k in range(40)), key=loss)
+    return Model(families, place, *_fit_logistic(x, y, unknown + 1), temperature)
+
+
+def _of_fold(plain: list[list[str]], n: int, rng: random.Random) -> list[str]:
+    """A paragraph of fold n, or of any if there are fewer paragraphs than folds."""
+    own = range(n, len(plain), FOLDS)
+    return plain[rng.choice(own)] if own else rng.choice(plain)
 
 
 def _like(own: Counter, template: Counter) -> float:
-    """Of the smaller of both, the share that stands in the other."""
-    return sum((own & template).values()) / max(1, min(sum(own.values()), sum(template.values())))
+    """Of the smaller of both, the share that stands in the other; zero if that is under SHARED and not the whole template."""
+    shared, whole = sum((own & template).values()), sum(template.values())
+    return shared / max(1, min(sum(own.values()), whole)) if shared >= min(SHARED, whole) else 0.0
 
 
 def fit_on(docs: DataFrame, rows: int = FIT_PARAGRAPHS, text_col: str = "text") -> Model:
-    """Fits with about `rows` paragraphs of the corpus, those with the least hashes among documents chosen by hash."""
+    """Fits with `rows` paragraphs of the corpus at most, those with the least hashes in about `rows` different texts chosen by hash.
+
+    Texts are cut into paragraphs, and those into pieces of FIT_WORDS words, on the executors; only pieces come to the driver.
+    """
     texts = docs.select(F.col(text_col).cast("string").alias("text")).where("length(text) > 0")
     n = texts.count()
     share = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, rows / max(n, 1)))
-    sample = texts.where(share).select(F.xxhash64("text").alias("h"), "text").orderBy("h").limit(rows).collect()
-    found = [p for r in sample for p in paragraphs(r.text)]
-    random.Random(5).shuffle(found)
-    return fit(found[:rows])
+    different = texts.where(share).groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                found = [words for x in part.column(0) for p in paragraphs(x.as_py()) for words in [words_of(p)] if words]
+                yield pa.RecordBatch.from_arrays([pa.array([" ".join(w[i : i + FIT_WORDS]) for w in found for i in range(0, len(w), FIT_WORDS)], pa.string())], ["piece"])
+
+    pieces = arrow_map(different.select("text"), cut, "piece string").distinct()
+    found = [r.piece for r in pieces.orderBy(F.xxhash64("piece"), "piece").limit(rows).collect()]
+    return fit(found)
 
 
 def scan(docs: DataFrame, model: Model, templates: dict[str, list[str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

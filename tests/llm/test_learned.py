@@ -71,8 +71,29 @@ def test_licence_fit_from_a_table(spark):
     docs = read_table(spark, SMALL, "documents")
     found = license_scan.scan(docs, license_scan.fit_on(docs, rows=400)).collect()
     texts = {r.doc_id: r.text for r in docs.collect()}
-    mark = re.compile(r"Licensed under|licensed under|MIT License|All rights reserved")
-    assert {r.doc_id for r in found if r.families} == {i for i, t in texts.items() if mark.search(t)}
+    notices = {"gpl": "under the GNU General Public License", "proprietary": "All rights reserved.", "cc-by-nc": "under CC BY-NC 4.0", "mit": "under the MIT License", "apache-2.0": "under the Apache License, Version 2.0"}
+    want = {i: sorted(f for f, notice in notices.items() if notice in (t or "")) for i, t in texts.items()}
+    assert {r.doc_id: r.families for r in found} == want and len({f for fs in want.values() for f in fs}) == 5
+
+
+def test_licence_confirmation_needs_more_than_a_word_or_two():
+    template = license_scan.pairs(license_scan.words_of(license_scan.TEMPLATES["mit"][2]))
+    like = lambda text: license_scan._like(license_scan.pairs(license_scan.words_of(text)), template)
+    assert like("free of") == like("the") == 0 and like("Permission is hereby granted, free of charge.") == 1
+    whole = license_scan.pairs(license_scan.words_of("All rights reserved."))
+    assert license_scan._like(whole, whole) == 1  # a template of two pairs counts when it is there as a whole
+
+
+def test_licence_fit_sample_is_cut_on_the_executors(spark, monkeypatch):
+    """The driver gets pieces of FIT_WORDS words, each different text once, however long or frequent the texts are."""
+    seen = []
+    monkeypatch.setattr(license_scan, "fit", lambda corpus: seen.append(corpus))
+    long = " ".join(f"w{i}" for i in range(1_000))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["same text here."] * 50 + [long, None, "", "one.\n\ntwo."])], "doc_id long, text string")
+    license_scan.fit_on(docs, rows=100)
+    assert sorted(len(p.split(" ")) for p in seen[0]) == [1, 1, 3, 200, 400, 400]
+    license_scan.fit_on(docs.limit(0))
+    assert seen[1] == []
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
