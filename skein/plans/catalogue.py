@@ -352,9 +352,9 @@ _ENGLISH_SQL = f"list_filter({_TOKENS_SQL}, lambda t: t NOT IN ({_STOP_SQL}))"
 SEARCH = "the that onand tion"
 
 
-def _bm25_sql(tokens: str, terms: list[str]) -> str:
+def _bm25_sql(tokens: str, terms: list[str], first: str = "") -> str:
     wanted = ", ".join(f"('{t}')" for t in terms)
-    return f"""WITH toks AS (SELECT doc_id, {tokens} AS ts FROM documents),
+    return f"""WITH {first}toks AS (SELECT doc_id, {tokens} AS ts FROM documents),
 lens AS (SELECT doc_id, len(ts) AS dl FROM toks WHERE len(ts) > 0),
 stats AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT avg(dl) FROM lens) AS avgdl),
 q(term) AS (VALUES {wanted}),
@@ -364,6 +364,11 @@ parts AS (SELECT tf.doc_id, ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf
 SELECT d.doc_id, round(coalesce(sum(part), 0)::DOUBLE, 6) AS score FROM documents d LEFT JOIN parts p ON d.doc_id = p.doc_id GROUP BY d.doc_id"""
 
 
+def bm25_sql(terms: list[str], first: str = "") -> str:
+    """SQL of every document's score for English terms; first: a CTE `documents` that takes the place of the table."""
+    return _bm25_sql(_ENGLISH_SQL, terms, f"{first}, " if first else "")
+
+
 @query(f"SELECT doc_id, CAST(len({_TOKENS_SQL}) AS BIGINT) AS n, CAST(len(list_distinct({_TOKENS_SQL})) AS BIGINT) AS different FROM documents")
 def bm25_tokenize(spark, d):
     tokens = scalar.text_tokens("text")

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from skein.functions import scalar
-from skein.plans import catalogue, dialect
+from skein.plans import catalogue, dialect, statements  # noqa: F401
 from skein.session import TABLES
 
 SF = "/root/testdata/sf0.001"
