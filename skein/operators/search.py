@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.scalar import LOWER, STOP_WORDS, UPPER, query_terms, text_tokens
+from skein.sources.scratch import keep
 
 # The parameters of the score.
 K1, B = 1.2, 0.75
@@ -29,9 +30,18 @@ class TextIndex:
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str, config: str = "english") -> DataFrame:
-    """(id, term, tf): one shuffle by (id, term), partial counts before it."""
-    tokens = docs.select(F.col(id_col).alias("id"), F.explode(text_tokens(text_col, config)).alias("term"))
-    return tokens.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(id, term, tf): the texts are dealt out by id, which is less than to deal out their terms, and counted where they are cut.
+
+    Ids should be unique; rows that share an id are counted as one document.  Those without id, which no number bounds, are counted
+    in part before their terms are dealt out.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    named, others = rows.where("id is not null").repartition("id"), rows.where("id is null")
+    return _counted(named, config).unionAll(_counted(others, config))
+
+
+def _counted(rows: DataFrame, config: str) -> DataFrame:
+    return rows.select("id", F.explode(text_tokens("text", config)).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def build_index(docs: DataFrame, id_col: str, text_col: str, config: str = "english") -> TextIndex:
@@ -57,16 +67,32 @@ def with_score(df: DataFrame, text_col: str, query: str, config: str = "english"
     stats = stats.select(F.struct("*").alias("__bm25"))
     score: Column = F.lit(0.0)
     for i, term in enumerate(terms):
-        n, df_i, tf = F.col("__bm25.n"), F.col(f"__bm25.df{i}"), _tf(tokens, term).cast("double")
-        idf = F.log((n - df_i + 0.5) / (df_i + 0.5) + 1)
-        part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("__bm25.avgdl")))
-        score = score + F.when(tf > 0, part).otherwise(0.0)
+        score = score + _part(_tf(tokens, term).cast("double"), dl, F.col("__bm25.n"), F.col(f"__bm25.df{i}"), F.col("__bm25.avgdl"))
     return df.crossJoin(F.broadcast(stats)).select(*[F.col(f"`{c}`") for c in names], score.alias(name))  # stats is one row
 
 
 def scores(docs: DataFrame, id_col: str, text_col: str, query: str, config: str = "english") -> DataFrame:
-    """(id, score) of every document."""
-    return with_score(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", query, config).select("id", "score")
+    """(id, score) of every document, as with_score.
+
+    The texts are read and cut once: each document's length and term counts, a few numbers, are written to the scratch folder, and
+    both the statistics and the scores come from there.
+    """
+    terms = query_terms(query, config)
+    different = sorted(set(terms))
+    cut = docs.select(F.col(id_col).alias("id"), text_tokens(text_col, config).alias("ts"))
+    hits = F.filter("ts", lambda t: t.isin(*different)) if different else F.array().cast("array<string>")
+    cut = cut.select("id", F.coalesce(F.size("ts"), F.lit(0)).cast("double").alias("dl"), F.coalesce(hits, F.array().cast("array<string>")).alias("hits"))
+    counted = keep(cut.select("id", "dl", *[_tf(F.col("hits"), t).alias(f"tf{i}") for i, t in enumerate(different)]), "terms")
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl"), *[F.coalesce(F.sum((F.col(f"tf{i}") > 0).cast("bigint")), F.lit(0)).alias(f"df{i}") for i in range(len(different))])
+    joined = counted.crossJoin(F.broadcast(stats.select(F.struct("*").alias("__bm25"))))  # one row
+    parts = [_part(F.col(f"tf{different.index(t)}").cast("double"), F.col("dl"), F.col("__bm25.n"), F.col(f"__bm25.df{different.index(t)}"), F.col("__bm25.avgdl")) for t in terms]
+    return joined.select("id", sum(parts, F.lit(0.0)).alias("score"))
+
+
+def _part(tf: Column, dl: Column, n: Column, df: Column, avgdl: Column) -> Column:
+    """What one term adds to the score."""
+    idf = F.log((n - df + 0.5) / (df + 0.5) + 1)
+    return F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))).otherwise(0.0)
 
 
 def _tf(tokens: Column, term: str) -> Column:
@@ -107,7 +133,8 @@ def ranked_call(operand: str, terms: list[str], stats: dict[str, tuple[int, int,
     if not terms:
         return "0D"
     stop = f" AND t NOT IN ({quoted(STOP_WORDS)})" if config == "english" else ""
-    tokens = f"filter(split(translate({operand}, '{UPPER}', '{LOWER}'), '[^\\\\p{{L}}\\\\p{{N}}]+'), t -> t <> ''{stop})"
+    small = f"CASE WHEN octet_length({operand}) = length({operand}) THEN lower({operand}) ELSE translate({operand}, '{UPPER}', '{LOWER}') END"
+    tokens = f"filter(split({small}, '[^\\\\p{{L}}\\\\p{{N}}]+'), t -> t <> ''{stop})"
     counts = f"transform(array({quoted(terms)}), w -> CAST(size(filter(ts, t -> t = w)) AS DOUBLE))"
     length = f"{1 - B!r}D + {B!r}D * try_divide(CAST(size(ts) AS DOUBLE), {float(dl / full if full else 1.0)!r}D)"
     part = f"CASE WHEN tf > 0D THEN try_divide(i * tf * {K1 + 1!r}D, tf + {K1!r}D * ({length})) ELSE 0D END"

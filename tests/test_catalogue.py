@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from skein.functions import scalar
+from skein.operators import search
 from skein.plans import catalogue, dialect, statements  # noqa: F401
 from skein.session import TABLES
 
@@ -104,3 +105,31 @@ def test_query_terms_are_tokens(text):
     terms = scalar.query_terms(text)
     assert all(t and all(c.isalpha() or c.isnumeric() for c in t) for t in terms)
     assert scalar.query_terms(text, "english") == [t for t in terms if t not in scalar.STOP_WORDS]
+
+
+def test_postings_of_odd_ids(spark):
+    """Rows that share an id are one document, those without id are one too; null and empty texts have no terms."""
+    docs = spark.createDataFrame([(1, "pear Pear plum"), (1, "pear"), (None, "fig"), (None, "fig the"), (2, None), (3, "")], "id long, body string")
+    found = {(r.id, r.term): r.tf for r in search.postings(docs, "id", "body").collect()}
+    assert found == {(1, "pear"): 3, (1, "plum"): 1, (None, "fig"): 2}
+    assert search.postings(docs.limit(0), "id", "body").count() == 0
+
+
+def test_scores_in_one_cut(spark):
+    """Scores of the written counts are those beside the rows, with repeated terms, without terms and without rows."""
+    docs = spark.createDataFrame([(1, "pear Pear plum"), (2, "PLUM fig"), (3, None), (4, ""), (None, "fig")], "id long, body string")
+    for text in ("pear plum pear", "nothing", "the", ""):
+        want = sorted(r.score for r in search.with_score(docs, "body", text).collect())
+        assert sorted(r.score for r in search.scores(docs, "id", "body", text).collect()) == pytest.approx(want)
+        assert search.scores(docs.limit(0), "id", "body", text).count() == 0
+    assert {r.id: r.score > 0 for r in search.scores(docs, "id", "body", "fig").collect()} == {1: False, 2: True, 3: False, 4: False, None: True}
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.text(max_size=20), min_size=1, max_size=20))
+def test_only_a_to_z_become_small(spark, texts):
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+    scalar.install(spark)
+    small = str.maketrans(scalar.UPPER, scalar.LOWER)
+    rows = spark.createDataFrame([(t,) for t in [*texts, "ÀÉ Iİ ẞ A", "ABC z"]], "x string").select("x", scalar.ascii_lower("x").alias("y"), F.expr("ascii_lower(x)").alias("z")).collect()
+    assert all(r.y == r.z == r.x.translate(small) for r in rows)
