@@ -29,6 +29,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least doc_id; Jaccard similarity 0.8 over five words a shingle.
 
+    Candidates are those that op8's operator links (SimHash, two bits) and, as 0.8 is 4 to 14 bits, those of MinHash.
     Documents that line dedup left without words are one group, of which one stays.  Rows that repeat that doc_id are
     near copies too, so one of them stays; rows without doc_id stay where their group has no other.
     """

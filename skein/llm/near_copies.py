@@ -1,8 +1,9 @@
-"""Near copies by MinHash over word shingles.
+"""Near copies by SimHash and, beyond its reach, MinHash over word shingles.
 
-Texts of a Jaccard similarity of 0.8 differ in about 4 to 14 of the 64 bits of a SimHash, too many for wildcard segments
-(they would share some 7 bits).  So candidates are texts that share a band of a MinHash signature, and are verified by
-the exact Jaccard similarity of their shingle sets.  Equal sets are one node.
+Documents whose SimHash fingerprints the operator of simhash.py links (two bits at most, by one-wildcard segments) are
+candidates.  Texts of a Jaccard similarity of 0.8 differ in about 4 to 14 of the 64 bits, too many for such segments
+(they would share some 7 bits), so texts that share a band of a MinHash signature are candidates too.  All candidates are
+verified by the exact Jaccard similarity of their shingle sets.  Equal sets are one node.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, keep, slices
+from .common import arrow_map, components, keep, slices
 from .line_dedup import FEW, band_keys
 from .similar_sets import BASE, MOST, one_of_equal, similar_components, weight_of
-from .simhash import keep_least, shingle_hashes
+from .simhash import fingerprint_of, keep_least, link_fingerprints, shingle_hashes
 
 THRESHOLD = 0.8
 #: A pair at the threshold is found with probability 1 - (1 - 0.8**5)**24 = 0.99993.
@@ -40,24 +41,28 @@ def signature(own: np.ndarray) -> np.ndarray:
     return least
 
 
-def _sign(words: int):
-    """(doc_id, text_key, text) -> (doc_id, text_key, node, size, keys): hash and size of the shingle set and its band keys, none of a text without words."""
+def _sign(words: int, bands: int):
+    """(doc_id, text_key, text) -> (doc_id, text_key, node, size, fp, keys): hash and size of the shingle set, the fingerprint of all shingles and the set's band keys, none of a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
         for batch in batches:
             for part in slices(batch):
-                nodes, sizes, keys, ends = [], [], [np.empty(0, np.int64)], [0]
+                nodes, sizes, fps, keys, ends = [], [], [], [np.empty(0, np.int64)], [0]
                 for text in part.column(2):
-                    own = shingle_set(text.as_py(), words)
+                    hashes = shingle_hashes(text.as_py(), words)
+                    own = np.unique(hashes)
                     sizes.append(len(own))
                     nodes.append(xxh3_64_intdigest(own.tobytes()))
-                    if len(own):
-                        keys.append(band_keys(signature(own)[None], BANDS, ROWS)[0].view(np.int64))
-                    ends.append(ends[-1] + (BANDS if len(own) else 0))
+                    fps.append(fingerprint_of(hashes) if len(own) else 0)
+                    signed = bands if len(own) else 0
+                    if signed:
+                        keys.append(band_keys(signature(own)[None], BANDS, ROWS)[0, :signed].view(np.int64))
+                    ends.append(ends[-1] + signed)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists], ["doc_id", "text_key", "node", "size", "keys"])
+                longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), longs[0], pa.array(sizes, pa.int32()), longs[1], lists], ["doc_id", "text_key", "node", "size", "fp", "keys"])
 
     return run
 
@@ -80,16 +85,26 @@ def _taken(bodies: pa.Array) -> list[np.ndarray]:
     return [x.values.to_numpy().view(np.uint64).copy() for x in bodies]
 
 
-def keep_one(docs: DataFrame, words: int = 5, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
+def _of_near_fingerprints(signed: DataFrame) -> DataFrame:
+    """(key, node, weight): the different sets of each component of linked fingerprints; texts without words have no set."""
+    own = keep(signed.where("size > 0").select("fp", "node", weight_of("size").alias("weight")).distinct(), "fingerprints")
+    roots = components(link_fingerprints(own.select("fp").distinct())).select(F.col("node").alias("fp"), "root")
+    return own.join(roots, "fp", "left").select(F.xxhash64(F.coalesce("root", "fp"), F.lit(8)).alias("key"), "node", "weight").distinct()
+
+
+def keep_one(docs: DataFrame, words: int = 5, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, bands: int = BANDS) -> DataFrame:
     """One document for each group of near copies (linked, directly or through others, by a Jaccard similarity of
     `threshold` or more of their shingle sets), with its own columns: see simhash.keep_least.  Texts without words are one group.
+
+    With bands=0 the candidates are those of the fingerprints alone.
     """
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    signed = keep(arrow_map(rows, _sign(words), "doc_id long, text_key long, node long, size int, keys array<long>"), "minhashes")
+    signed = keep(arrow_map(rows, _sign(words, bands), "doc_id long, text_key long, node long, size int, fp long, keys array<long>"), "minhashes")
     keys = signed.select(F.explode("keys").alias("key"), "node", weight_of("size").alias("weight"))
     full = keep(keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key"), "buckets")
-    shared = keep(keys.join(F.broadcast(full) if full.count() <= FEW else full, "key").distinct(), "candidates")
+    shared = keys.join(F.broadcast(full) if full.count() <= FEW else full, "key").distinct()
+    shared = keep(shared.unionByName(_of_near_fingerprints(signed)), "candidates")
     shared = one_of_equal(shared)  # of the buckets with equal members one is enough
     # The candidates' sets, each from one place where it stands.
     nodes = keep(shared.select("node").distinct(), "nodes")

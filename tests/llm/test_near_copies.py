@@ -41,3 +41,15 @@ def test_near_copies_odd_rows(spark):
     found = sorted(((r.doc_id, r.text[:11]) for r in near_copies.keep_one(docs).collect()), key=str)
     assert found == sorted([(1, "a b c d e f"), (None, "x y z"), (7, ""), (3, "w w w w w w")], key=str)
     assert near_copies.keep_one(docs.limit(0)).count() == 0
+
+
+def test_fingerprints_link_copies_by_themselves(spark):
+    texts = ["", *edited_texts()]
+    sets = [set(shingle_hashes(t, 5).tolist()) for t in texts]
+    fps = [fingerprint_of(shingle_hashes(t, 5)) if sets[i] else 0 for i, t in enumerate(texts)]
+    near = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if sets[a] and sets[b] and (fps[a] ^ fps[b]).bit_count() <= 2]
+    links = [(a, b) for a, b in near if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert sum(sets[a] != sets[b] for a, b in links) > 5
+    groups = groups_of(range(len(texts)), links)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.keep_one(docs, bands=0).collect()) == sorted(set(groups.values()))
