@@ -23,6 +23,8 @@ SHINGLE, THRESHOLD = 8, 0.8
 BANDS, ROWS = 14, 5
 #: So many bucket or line keys are broadcast at most.
 FEW = 1_000_000
+#: So many lines a task remembers, to write their bands once; beyond them it starts anew, and results stay the same.
+SEEN = 100_000
 
 _M1, _M2, _P = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
@@ -107,23 +109,31 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text_key, text) -> (doc_id, text_key, line, size, h1, h2, bands) of every line that isn't blank."""
+    """(doc_id, text_key, text) -> (doc_id, text_key, line, size, h1, h2, bands) of every line that isn't blank; a line that the task has met has no bands."""
     from xxhash import xxh3_128_digest
 
+    seen: set[bytes] = set()
     for batch in batches:
         for part in slices(batch, 1 << 20):
-            docs, at, lines = [], [], []
+            docs, at, sizes, digests, ends, fresh = [], [], [], [], [0], []
             for i, text in enumerate(part.column(2)):
                 for n, line in enumerate((text.as_py() or "").split("\n")):
                     if line := normal(line):
                         docs.append(i)
                         at.append(n)
-                        lines.append(line)
-            hashed = np.frombuffer(b"".join(xxh3_128_digest(x.encode()) for x in lines), np.int64).reshape(-1, 2)
-            keys = band_keys(signatures(lines, BANDS * ROWS))
+                        sizes.append(len(line))
+                        digests.append(digest := xxh3_128_digest(line.encode()))
+                        if digest not in seen:
+                            if len(seen) >= SEEN:
+                                seen.clear()
+                            seen.add(digest)
+                            fresh.append(line)
+                        ends.append(len(fresh) * BANDS)
+            hashed = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            keys = band_keys(signatures(fresh, BANDS * ROWS))
             taken = pa.array(docs, pa.int64())
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1) * BANDS, pa.int32()), pa.array(keys.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(taken), part.column(1).take(taken), pa.array(at, pa.int32()), pa.array([len(x) for x in lines], pa.int32()), pa.array(hashed[:, 0].copy()), pa.array(hashed[:, 1].copy()), flat], ["doc_id", "text_key", "line", "size", "h1", "h2", "bands"])
+            flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(taken), part.column(1).take(taken), pa.array(at, pa.int32()), pa.array(sizes, pa.int32()), pa.array(hashed[:, 0].copy()), pa.array(hashed[:, 1].copy()), flat], ["doc_id", "text_key", "line", "size", "h1", "h2", "bands"])
 
 
 def _lines_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,14 +185,18 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     # Bands mostly gather the same lines: of the buckets with equal members one is enough.
     shared = one_of_equal(shared, "line-buckets")
     # The candidates' texts, each from the place where it stands first.
-    nodes = shared.select("node").distinct()
-    wanted = different.withColumn("node", node).join(nodes, "node").select(F.col("place.doc_id").alias("at_id"), F.col("place.text_key").alias("at_key"), F.struct("place.line", "node").alias("at"))
+    nodes = keep(shared.select(F.col("node").alias("hit")).distinct(), "line-nodes")
+    few = nodes.count() <= FEW
+    # Lines that stand once and in no such bucket neither go nor stay for another.
+    touched = different.withColumn("node", node).join(F.broadcast(nodes) if few else nodes, F.col("node") == F.col("hit"), "left")
+    touched = keep(touched.where("n > 1 or hit is not null"), "touched-lines")
+    wanted = touched.where("hit is not null").select(F.col("place.doc_id").alias("at_id"), F.col("place.text_key").alias("at_key"), F.struct("place.line", "node").alias("at"))
     wanted = keep(wanted.groupBy("at_id", "at_key").agg(F.collect_list("at").alias("at")), "line-places")  # bounded by the document's own lines
-    near = F.broadcast(wanted) if nodes.count() <= FEW else wanted
+    near = F.broadcast(wanted) if few else wanted
     found = rows.join(near, rows["doc_id"].eqNullSafe(near["at_id"]) & (rows["text_key"] == near["at_key"]))
     texts = keep(arrow_map(found.select("text", "at"), _lines_at, "node long, body string").dropDuplicates(["node"]).withColumn("weight", F.length("body") + BASE), "line-texts")
     roots = similar_components(shared, texts, _line_sets, threshold, most)
-    placed = different.withColumn("node", node).join(roots, "node", "left").select("h1", "h2", "place", "n", F.coalesce("root", "node").alias("root"))
+    placed = touched.join(roots, "node", "left").select("h1", "h2", "place", "n", F.coalesce("root", "node").alias("root"))
     best = placed.groupBy("root").agg(F.min("place").alias("stays"), F.sum("n").alias("all")).where("all > 1")
     decided = placed.join(best, "root").select("h1", "h2", "stays")
     gone = signed.select("doc_id", "text_key", "line", "h1", "h2").join(decided, ["h1", "h2"])

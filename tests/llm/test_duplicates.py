@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from xxhash import xxh64_intdigest
 
@@ -149,3 +150,15 @@ def test_line_dedup_odd_rows(spark):
     assert sorted(((r.doc_id, (r.text or "-")[:5], r.n_dropped) for r in found), key=str) == sorted([(1, "-", 0), (2, "-", 0), (3, "\n\n", 0), (4, "the s", 0), (None, "-", 1), (5, "-", 2), (6, "xxxxx", 0), (6, "xxxxx", 0), (7, "last", 1)], key=str)
     assert next(r for r in found if r.doc_id == 1).text is None
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_task_writes_the_bands_of_a_line_once(monkeypatch):
+    batch = lambda texts: pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text_key": [0] * len(texts), "text": texts})
+    rows = lambda *texts: [r for b in line_dedup._sign(iter([batch(x) for x in texts])) for r in b.to_pylist()]
+    found = rows(["one line\nanother\none  LINE", None], ["another", "third"])
+    assert [(r["doc_id"], r["line"], len(r["bands"])) for r in found] == [(0, 0, 14), (0, 1, 14), (0, 2, 0), (0, 0, 0), (1, 0, 14)]
+    assert len({(r["h1"], r["h2"]) for r in found}) == 3 and found[0]["h1"] == found[2]["h1"]
+    alone = rows(["another"])[0]
+    assert alone["bands"] == found[1]["bands"]
+    monkeypatch.setattr(line_dedup, "SEEN", 1)
+    assert [len(r["bands"]) for r in rows(["a\nb\na\na"])] == [14, 14, 14, 0]
