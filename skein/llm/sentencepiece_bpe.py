@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map, slices
 
 SPACE = "▁"
-#: Bounds of what a task remembers; beyond them it starts anew, and results stay the same.
-WORDS, PAIRS, LONGEST = 120_000, 250_000, 48
+#: Bounds of what a task remembers (words twice, in a new and an old table); beyond them it starts anew, and results stay the same.
+WORDS, PAIRS, LONGEST = 60_000, 250_000, 48
 
 
 class Encoder:
@@ -44,12 +44,15 @@ class Encoder:
         self.score = {p: model.get_score(i) for i, p in self.piece.items()}
         if any(SPACE in p.lstrip(SPACE) for p in self.id):
             raise ValueError("the model has pieces over more than one word")
+        #: For each token those that were asked for before it, and whether they are compatible.
+        self.before: dict[int, dict[int, bool]] = {}
+        self.pairs = 0
         self.matches = ahocorasick.Automaton()
         for p, i in self.id.items():
             if self._merged(p) == [p]:  # others are never an outcome
-                self.matches.add_word(p, (i, len(p)))
+                self.matches.add_word(p, (i, len(p), self.before.setdefault(i, {})))
         self.matches.make_automaton()
-        self.pairs: dict[int, bool] = {}
+        self.inside = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
         self.bare, self.spaced = _Words(self, ""), _Words(self, SPACE)
         self.ends = [array("I", [i]).tobytes() for i in (self.bos, self.eos)]
         self.newline = None if any("\n" in p for p in self.id) else array("I", self._bytes("\n")[::-1]).tobytes()
@@ -68,13 +71,29 @@ class Encoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def _compatible(self, a: int, b: int) -> bool:
-        key = a << 32 | b
-        if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            left, right = self.piece[a], self.piece[b]
-            known = self.pairs[key] = self._merged(left + right) == [left, right]
-        return known
+        """Whether the two tokens are the encoding of their text: merging it never joins parts of both."""
+        if self.pairs >= PAIRS:
+            for known in self.before.values():
+                known.clear()
+            self.pairs = 0
+        self.pairs += 1
+        get, none = self.score.get, float("-inf")
+        parts = [*self.piece[a], *self.piece[b]]
+        edge = len(self.piece[a]) - 1  # the last part of the left token
+        scores = [get(x + y, none) for x, y in zip(parts, parts[1:], strict=False)]
+        while (best := max(scores)) != none:
+            at = scores.index(best)
+            if at == edge:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at:
+                scores[at - 1] = get(parts[at - 1] + parts[at], none)
+            if at < len(scores):
+                scores[at] = get(parts[at] + parts[at + 1], none)
+            edge -= at < edge
+        self.before[b][a] = best == none
+        return best == none
 
     def _word(self, word: str) -> list[int]:
         """The prefix table of one word; a character that no piece covers is written as its bytes and parts the word."""
@@ -82,20 +101,18 @@ class Encoder:
         last = [-1] * (size + 1)  # the last token of each prefix
         length = [0] * (size + 1)  # and its length; 0: the character before is written as bytes
         start = ended = 0  # where the table began anew; the next end without token
-        pairs = self.pairs
-        for end, (token, n) in self.matches.iter(word):
+        for end, (token, n, before) in self.matches.iter(word):
             if end < ended:
                 continue
             if end > ended:  # the characters between have no piece
                 start = ended = end
             j = end + 1 - n
-            if j < start:
-                continue
             if j > start:
-                key = last[j] << 32 | token
-                known = pairs[key] if key in pairs else self._compatible(last[j], token)
-                if not known:
+                known = before.get(last[j])
+                if not (self._compatible(last[j], token) if known is None else known):
                     continue
+            elif j < start:
+                continue
             ended = end + 1
             last[ended], length[ended] = token, n
         ids: list[int] = []
@@ -137,16 +154,30 @@ class Encoder:
 
 
 class _Words(dict):
-    """Packed ids of words, each with the mark put before it."""
+    """Packed ids of words, each with the mark put before it.  A full table becomes the old one, whose words come back when they are met.
+
+    Where no piece has the last letter or digit and the next character beside one another, no token spans both, so a word and
+    the marks behind it are encoded one by one.
+    """
 
     def __init__(self, encoder: Encoder, mark: str):
         super().__init__({"": b""} if not mark else {})
-        self.encoder, self.mark = encoder, mark
+        self.encoder, self.mark, self.old = encoder, mark, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = array("I", self.encoder._word(self.mark + word)).tobytes()
+        if (ids := self.old.get(word)) is None:
+            size = len(word)
+            if size > 1 and not word[-1].isalnum():
+                size -= 1
+                while size and not word[size - 1].isalnum():
+                    size -= 1
+            if 0 < size < len(word) and word[size - 1 : size + 1] not in self.encoder.inside:
+                ids = self[word[:size]] + self.encoder.bare[word[size:]]
+            else:
+                ids = array("I", self.encoder._word(self.mark + word)).tobytes()
         if len(word) <= LONGEST:
             if len(self) >= WORDS:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids

@@ -125,3 +125,28 @@ def test_texts_as_tiff(spark):
         assert r.media_bytes == len(r.media) and r.media_sha256 == sha256(r.media).hexdigest()
         assert b"".join(p.data.tobytes() for p in media_tiff.read_pages(bytes(r.media))) == payload
     assert by_id[0].feature == by_id[1].feature
+
+
+def test_words_are_encoded_once(monkeypatch):
+    encoder = sentencepiece_bpe.Encoder(tokenizer("piece_bpe_32k.model"))
+    calls = []
+    plain = encoder._word
+    monkeypatch.setattr(encoder, "_word", lambda word: calls.append(word) or plain(word))
+    text = "qwzu qwzu, qwzu. ,qwzu; qwzu"
+    assert encoder.encode(text) == np.array(encoder.library.encode(text, add_bos=True, add_eos=True), "<u4").tobytes()
+    want = [m + w for m, w in (("▁", "qwzu"), ("", ","), ("", "."), ("▁", ",qwzu"), ("", ";"))]
+    assert calls == [w for w in want if len(w) > 1 or "u" + w not in encoder.inside]
+    monkeypatch.setattr(sentencepiece_bpe, "WORDS", 1)
+    encoder.spaced.clear()
+    calls.clear()
+    encoder.encode("xaab xbba xaab")  # the full table is the old one now
+    assert calls == ["▁xaab", "▁xbba"]
+
+
+def test_compatible_pairs_are_those_of_the_definition():
+    encoder = sentencepiece_bpe.Encoder(tokenizer("piece_bpe_32k.model"))
+    tokens = sorted(encoder.before)[:: len(encoder.before) // 120]
+    for a in tokens:
+        for b in tokens:
+            left, right = encoder.piece[a], encoder.piece[b]
+            assert encoder._compatible(a, b) == (encoder._merged(left + right) == [left, right])
