@@ -21,10 +21,12 @@ from .similar_sets import BASE, MOST, one_of_equal, similar_components, weight_o
 SHINGLE, THRESHOLD = 8, 0.8
 #: A pair at the threshold is found with probability 1 - (1 - 0.8**5)**14 = 0.996, one at 0.9 in all but 3 of 10**6 cases.
 BANDS, ROWS = 14, 5
-#: So many bucket or line keys are broadcast at most.
+#: So many line keys are broadcast at most.
 FEW = 1_000_000
 #: So many lines a task remembers, to write their bands once; beyond them it starts anew, and results stay the same.
 SEEN = 100_000
+#: Bucket keys are packed by parts of about PART keys on their way to the task that compares them; a task holds HELD of them.
+PART, HELD = 1 << 17, 1 << 20
 
 _M1, _M2, _P = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
@@ -35,15 +37,17 @@ def normal(line: str) -> str:
 
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * _M1
-    h = (h ^ (h >> np.uint64(33))) * _M2
-    return h ^ (h >> np.uint64(33))
+    h ^= h >> np.uint64(33)
+    h *= _M2
+    h ^= h >> np.uint64(33)
+    return h
 
 
 def _windows(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The characters of the lines one after another, and the number of each one's line; short lines are filled up with zeros."""
+    """The characters of the lines one after another, and each line's number of them; short lines are filled up with zeros."""
     filled = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
     sizes = np.fromiter(map(len, filled), np.int64, len(filled))
-    return np.frombuffer("".join(filled).encode("utf-32-le", "surrogatepass"), np.uint32), np.repeat(np.arange(len(filled), dtype=np.int32), sizes)
+    return np.frombuffer("".join(filled).encode("utf-32-le", "surrogatepass"), np.uint32), sizes
 
 
 def _rolled(chars: np.ndarray, power: np.unsignedinteger) -> np.ndarray:
@@ -51,7 +55,9 @@ def _rolled(chars: np.ndarray, power: np.unsignedinteger) -> np.ndarray:
     h, width = chars, 1
     with np.errstate(over="ignore"):
         while width < SHINGLE:
-            h = h[:-width] * power + h[width:] if len(h) > width else h[:0]
+            low, h = h[width:], h[:-width] * power if len(h) > width else h[:0]
+            if len(h):
+                h += low
             power, width = power * power, width * 2
     return h
 
@@ -61,7 +67,8 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     A line of fewer than SHINGLE characters is filled up with zeros to one shingle.
     """
-    chars, of = _windows(lines)
+    chars, sizes = _windows(lines)
+    of = np.repeat(np.arange(len(lines), dtype=np.int32), sizes)
     h = _rolled(chars.astype(np.uint64) + np.uint64(1), _P)
     whole = of[: len(h)] == of[SHINGLE - 1 :] if len(h) else np.empty(0, bool)
     return _mix(h[whole]), of[: len(h)][whole]
@@ -82,16 +89,19 @@ def shingle_sets(lines: list[str]) -> list[np.ndarray]:
 
 def signatures(lines: list[str], bins: int) -> np.ndarray:
     """One-permutation MinHash: the least hash in each bin; an empty bin takes that of the next full one to its right."""
-    chars, of = _windows(lines)
+    chars, sizes = _windows(lines)
     h = _rolled(chars, np.uint32(0x9E3779B1))
     h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
-    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    h ^= h >> np.uint32(13)
+    h *= np.uint32(0xC2B2AE35)
     h ^= h >> np.uint32(16)
-    of = of.astype(np.int64) * bins
-    place = of[: len(h)] + ((h >> np.uint32(16)).astype(np.int64) * bins >> 16)
-    whole = of[: len(h)] == of[SHINGLE - 1 :] if len(h) else np.empty(0, bool)
+    place = np.repeat(np.arange(len(lines)) * bins, sizes)[: len(h)]
+    place += (h >> np.uint32(16)) * np.uint32(bins) >> np.uint32(16)
+    h *= np.uint32(0x9E3779B1)
+    h &= np.uint32(0xFFFFFFFE)
+    h[(np.cumsum(sizes)[:-1, None] - np.arange(1, SHINGLE)).ravel()] = 0xFFFFFFFF  # shingles over the end of a line
     least = np.full(len(lines) * bins, 0xFFFFFFFF, np.uint32)
-    np.minimum.at(least, place[whole], ((h * np.uint32(0x9E3779B1)) & np.uint32(0xFFFFFFFE))[whole])
+    np.minimum.at(least, place, h)
     least = least.reshape(len(lines), bins)
     empty = least == 0xFFFFFFFF
     at = np.where(np.concatenate([empty, empty], axis=1), 4 * bins, np.arange(2 * bins))
@@ -114,11 +124,11 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     seen: set[bytes] = set()
     for batch in batches:
-        for part in slices(batch, 1 << 20):
+        for part in slices(batch, 1 << 18):
             docs, at, sizes, digests, ends, fresh = [], [], [], [], [0], []
             for i, text in enumerate(part.column(2)):
-                for n, line in enumerate((text.as_py() or "").split("\n")):
-                    if line := normal(line):
+                for n, line in enumerate((text.as_py() or "").lower().split("\n")):
+                    if line := " ".join(line.split()):  # normal(), with one lower() for all lines of the text
                         docs.append(i)
                         at.append(n)
                         sizes.append(len(line))
@@ -136,6 +146,88 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0).take(taken), part.column(1).take(taken), pa.array(at, pa.int32()), pa.array(sizes, pa.int32()), pa.array(hashed[:, 0].copy()), pa.array(hashed[:, 1].copy()), flat], ["doc_id", "text_key", "line", "size", "h1", "h2", "bands"])
 
 
+def _deal(parts: int):
+    """Over (node, size, bands) rows: (part, keys, nodes, sizes), the bands of many lines by parts of the key, packed; lines without bands give nothing."""
+
+    def dealt(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        part = ((columns[0].view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.min_scalar_type(parts))
+        order = np.argsort(part, kind="stable")
+        counts = np.bincount(part, minlength=parts)
+        full = np.flatnonzero(counts)
+        ends = np.concatenate([[0], np.cumsum(counts[full])])
+        packed = [pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x[order])]) for x in columns]
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *packed], ["part", "keys", "nodes", "sizes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            each = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+            keys = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            held.append((keys, *(np.repeat(batch.column(i).to_numpy(zero_copy_only=False), each) for i in (0, 1))))
+            n += len(keys)
+            if n >= HELD:
+                yield dealt(held)
+                held, n = [], 0
+        if n:
+            yield dealt(held)
+
+    return run
+
+
+def _met(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the different (key, node) pairs whose key has several nodes, and one place for each key."""
+    order = np.argsort(keys)
+    again = keys[order[1:]] == keys[order[:-1]]
+    run = np.concatenate([again, [False]]) | np.concatenate([[False], again])
+    alone, order = order[~run], order[run]
+    order = order[np.lexsort((nodes[order], keys[order]))]
+    first = np.ones(len(order), bool)
+    first[1:] = keys[order[1:]] != keys[order[:-1]]
+    new = first.copy()
+    new[1:] |= nodes[order[1:]] != nodes[order[:-1]]
+    order, first = order[new], first[new]
+    starts = np.flatnonzero(first)
+    counts = np.diff(np.append(starts, len(order)))
+    return order[np.repeat(counts > 1, counts)], np.concatenate([alone, order[starts]])
+
+
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows of _deal that come sorted by part: (key, node, size) of the buckets with several different lines, some of them repeatedly.
+
+    Of a part with more than HELD keys one line for each key is held on: every other line of its bucket meets that one.
+    """
+    part, held, n, room = None, [], 0, HELD
+
+    def met() -> tuple[pa.RecordBatch, list[tuple[np.ndarray, ...]]]:
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        out, rest = _met(*columns[:2])
+        return pa.RecordBatch.from_arrays([pa.array(x[out]) for x in columns], ["key", "node", "size"]), [tuple(x[rest] for x in columns)]
+
+    for batch in batches:
+        for p, *packed in zip(*batch.columns, strict=True):
+            if p.as_py() != part:
+                if held:
+                    yield met()[0]
+                part, held, n, room = p.as_py(), [], 0, HELD
+            held.append(tuple(np.frombuffer(x.as_buffer(), t) for x, t in zip(packed, (np.int64, np.int64, np.int32), strict=True)))
+            n += len(held[-1][0])
+            if n > room:
+                found, held = met()
+                yield found
+                n = len(held[0][0])
+                room = max(room, 2 * n)  # so each key is looked at a few times only
+    if held:
+        yield met()[0]
+
+
+def _shared_buckets(bands: DataFrame, lines: int) -> DataFrame:
+    """(key, node, size) of the buckets that several different lines of (node, size, bands) share; lines: about how many rows there are."""
+    parts = max(1024, lines * BANDS // PART)
+    packed = arrow_map(bands, _deal(parts), "part long, keys binary, nodes binary, sizes binary")
+    return arrow_map(packed.repartition("part").sortWithinPartitions("part"), _several, "key long, node long, size int").distinct()
+
+
 def _lines_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, at array<struct<line, node>>) -> (node, the line as it is compared)."""
     for batch in batches:
@@ -178,10 +270,8 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     different = keep(signed.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n")), "different-lines")
     node = _names(different)
     # Buckets of several different lines; a line that occurs often is no such bucket.
-    keys = signed.select(F.explode("bands").alias("key"), node.alias("node"), weight_of("size").alias("weight"))
-    full = keep(keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key"), "line-buckets")
-    few = full.count() <= FEW
-    shared = keep(keys.join(F.broadcast(full) if few else full, "key").distinct(), "line-candidates")
+    shared = _shared_buckets(signed.where(F.size("bands") > 0).select(node.alias("node"), "size", "bands"), signed.count())
+    shared = keep(shared.select("key", "node", weight_of("size").alias("weight")), "line-candidates")
     # Bands mostly gather the same lines: of the buckets with equal members one is enough.
     shared = one_of_equal(shared, "line-buckets")
     # The candidates' texts, each from the place where it stands first.

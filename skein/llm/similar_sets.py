@@ -134,7 +134,7 @@ def _verify(threshold: float, sets: Sets, keys: int):
         key, bucket = None, Bucket(threshold)
         for batch in batches:
             made: list[tuple[int, int]] = []
-            for part in slices(batch, 1 << 20):
+            for part in slices(batch, 1 << 18):
                 columns = [part.column(i).to_pylist() for i in range(keys + 2)]
                 for *k, node, known, own in zip(*columns, sets(part.column(keys + 2)), strict=True):
                     if k != key:
